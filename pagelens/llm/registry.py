@@ -1,6 +1,6 @@
 """Queries of this subpackage, with SQL where SQL can express them."""
 
-from pagelens.llm import op1_langid, op2_lines, op3_bpe, op4_jaccard, op5_minhash, op7_licenses, op8_substring, op9_fertility, op10_mix
+from pagelens.llm import op1_langid, op2_lines, op3_bpe, op4_jaccard, op5_minhash, op6_mixing, op7_licenses, op8_substring, op9_fertility, op10_mix
 
 QUERIES = {
     "op1_langid": op1_langid.op1_langid,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_bpe": op3_bpe.op3_bpe,
     "op4_jaccard": op4_jaccard.op4_jaccard,
     "op5_minhash": op5_minhash.op5_minhash,
+    "op6_mixing": op6_mixing.op6_mixing,
     "op7_licenses": op7_licenses.op7_licenses,
     "op8_substring": op8_substring.op8_substring,
     "op9_fertility": op9_fertility.op9_fertility,
