@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from pathlib import Path
 
@@ -34,8 +35,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df):
     """Reliable checkpoint of a DataFrame in the shared folder (never localCheckpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    # Shuffle files go when the driver collects the plans that made them; after a cut nothing needs them.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
