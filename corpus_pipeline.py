@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.llm import op1_langid, op2_lines, op3_bpe, op4_jaccard, op10_mix
-from pagelens.session import cut, table
+from pagelens.session import checkpoint_dir, table
 
 #: A document whose languages are this mixed has no language to go by; ``und`` goes as well.
 LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language. Repeated ids share the verdict of their best text."""
-    found = op1_langid.predict(docs, op1_langid.fit(docs))
-    good = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(F.col("doc_id").alias("__good")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__good")), "left_semi")
+    """Rejects documents without a recognisable language."""
+    return op1_langid.recognised(docs, op1_langid.fit(docs), LEAST_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
-    return docs
+    """The stages one after the other; each but the last is written as Parquet in the shared folder and read again."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
