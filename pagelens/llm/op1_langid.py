@@ -261,6 +261,26 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", id_col
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, columns as they are, whose language is recognised with at least that mean probability: one pass, no join."""
+    spark = prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m, known, table_ = shared.value, {}, None
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            if m is None:
+                yield batch.slice(0, 0)
+                continue
+            table_ = table_ if table_ is not None else [np.zeros((0, len(m.labels)), np.float32)]
+            pred, score = label(texts, m, known, table_)
+            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """The fold that is not learned from: crc32 of the id as text, modulo 4, is 2. A null id is in no fold."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
