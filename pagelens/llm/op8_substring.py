@@ -80,75 +80,106 @@ def run_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, text_key long, first int, last int")
 
 
-def _segment_id(hashed: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        step = np.arange(1, len(hashed) + 1, dtype=np.uint64)
-        a = np.add.reduce(W.mix(hashed + step * W.U(0x9E3779B97F4A7C15)))
-        b = np.add.reduce(W.mix(hashed ^ (step * W.U(0xC2B2AE3D27D4EB4F))))
-    return int(a.view(np.int64)), int(b.view(np.int64))
-
+_STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
-def segment_rows(chosen: DataFrame, window: int, shards: int, payload: bool) -> DataFrame:
-    """Segments of the texts (text, text_key, runs array<struct<anchor,first,last,hot,copies>>).
 
-    With payload: (shard, seg_a, seg_b, words binary, copies), once per task; without: (text_key, seg_a, seg_b, first)."""
+def range_ids(hashed: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each range [low, high) of words, by polynomial prefix sums."""
+    n = len(hashed)
+    out = []
+    with np.errstate(over="ignore"):
+        up, down = (np.cumprod(np.r_[W.U(1), np.full(n, base, np.uint64)]) for base in (_STEP, _BACK))
+        for salt in (0, 0x51ED270B7D4CE52D):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(hashed ^ W.U(salt)) * up[:n])])
+            out.append(W.mix((total[high] - total[low]) * down[low] + (high - low).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+def _pieces(batch: pa.RecordBatch, window: int):
+    """For each block: its raw bytes, words, and the segments' text row, first word in the text, word range, ids, home and copies."""
+    text_at, run_at = (batch.schema.get_field_index(c) for c in ("text", "runs"))
+    for block in W.blocks(batch.column(text_at)):
+        w, docs = W.words(block), len(block.offsets) - 1
+        lists = batch.column(run_at).slice(block.row, docs)
+        flat = lists.flatten()
+        anchor, first, last, hot, copies = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False)) for c in ("anchor", "first", "last", "hot", "copies"))
+        row = np.repeat(np.arange(docs), lists.value_lengths().to_numpy(zero_copy_only=False))
+        # A hot segment is its single windows.
+        parts = np.where(hot.astype(bool), last - first + 1, 1)
+        at = np.repeat(np.arange(len(parts)), parts)
+        offset = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+        hot = hot.astype(bool)[at]
+        begin = first[at].astype(np.int64) + np.where(hot, offset, 0)
+        end = np.where(hot, begin, last[at]) + window
+        base = w.first[row[at]]
+        a, b = range_ids(w.hash, base + begin, base + end)
+        yield block, w, block.row + row[at], begin, base + begin, base + end, a, b, np.where(hot, a, anchor[at]), copies[at]
+
+
+def segment_rows(chosen: DataFrame, window: int, shards: int) -> DataFrame:
+    """(shard, seg_a, seg_b, words binary, copies) of the texts' segments, merged within a task. chosen: (text, text_key, runs array<struct<anchor,first,last,hot,copies>>)."""
 
-    def pieces(batches):
-        for batch in batches:
-            text_at, key_at, run_at = (batch.schema.get_field_index(c) for c in ("text", "text_key", "runs"))
-            all_runs = batch.column(run_at)
-            for block in W.blocks(batch.column(text_at)):
-                w, raw = W.words(block), block.data
-                for i in range(len(block.offsets) - 1):
-                    key = batch.column(key_at)[block.row + i].as_py()
-                    base = int(w.first[i])
-                    for r in all_runs[block.row + i].as_py():
-                        spans = [(r["first"], r["last"])] if not r["hot"] else [(j, j) for j in range(r["first"], r["last"] + 1)]
-                        for a, b in spans:
-                            lo, hi = base + a, base + b + window
-                            ids = _segment_id(w.hash[lo:hi])
-                            home = ids[0] if r["hot"] else r["anchor"]
-                            yield key, a, ids, home, r["copies"], (raw, w, lo, hi)
-
-    def with_payload(batches):
+    def run(batches):
         met: dict[tuple[int, int], list] = {}
         held = 0
 
         def flush():
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
             rows = [(home % shards, a, b, p, n) for (a, b), (home, p, n) in met.items()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["shard", "seg_a", "seg_b", "words", "copies"])
-
-        for _, _, ids, home, copies, (raw, w, lo, hi) in pieces(batches):
-            have = met.get(ids)
-            if have:
-                have[2] = min(2, have[2] + copies)
-                continue
-            p = b" ".join([raw[s:e].tobytes() for s, e in zip(w.start[lo:hi].tolist(), w.end[lo:hi].tolist(), strict=True)])
-            met[ids] = [home, p, min(2, copies)]
-            held += len(p) + 300
-            if held > 60_000_000:
-                yield flush()
-                met, held = {}, 0
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "seg_a", "seg_b", "words", "copies"])
+
+        for batch in batches:
+            for block, w, _, _, low, high, a, b, home, copies in _pieces(batch, window):
+                raw = block.data.tobytes()
+                for x, y, lo, hi, h, n in zip(a.tolist(), b.tolist(), w.start[low].tolist(), w.end[high - 1].tolist(), home.tolist(), copies.tolist(), strict=True):
+                    have = met.get((x, y))
+                    if have:
+                        have[2] = min(2, have[2] + n)
+                        continue
+                    met[x, y] = [h, raw[lo:hi], min(2, n)]
+                    held += hi - lo + 300
+                if held > 60_000_000:
+                    yield flush()
+                    met, held = {}, 0
         if met:
             yield flush()
 
-    def occurrences(batches):
-        rows = []
+    return chosen.mapInArrow(run, "shard int, seg_a long, seg_b long, words binary, copies int")
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["text_key", "seg_a", "seg_b", "first"])
-
-        for key, a, ids, _, _, _ in pieces(batches):
-            rows.append((key, *ids, a))
-            if len(rows) >= 50_000:
-                yield flush()
-                rows = []
-        if rows:
-            yield flush()
 
-    if payload:
-        return chosen.mapInArrow(with_payload, "shard int, seg_a long, seg_b long, words binary, copies int")
-    return chosen.mapInArrow(occurrences, "text_key long, seg_a long, seg_b long, first int")
+def occurrences(chosen: DataFrame, window: int) -> DataFrame:
+    """(text_key, seg_a, seg_b, first) of every segment of the texts."""
+
+    def run(batches):
+        for batch in batches:
+            key = batch.column(batch.schema.get_field_index("text_key"))
+            for _, _, row, begin, _, _, a, b, _, _ in _pieces(batch, window):
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(row)), pa.array(a), pa.array(b), pa.array(begin.astype(np.int32))], ["text_key", "seg_a", "seg_b", "first"])
+
+    return chosen.mapInArrow(run, "text_key long, seg_a long, seg_b long, first int")
+
+
+def merge_spans(spans: DataFrame) -> DataFrame:
+    """(text_key, spans) with overlapping and touching ranges made one, in order."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            lo, hi = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi"))
+            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((lo, row))
+            lo, hi, row = lo[order], hi[order], row[order]
+            wide = row << 32  # rows apart, so one running maximum serves all
+            reach = np.maximum.accumulate(hi + wide)
+            new = np.r_[True, lo[1:] + wide[1:] > reach[:-1]] if len(lo) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            last = np.r_[first[1:], len(lo)] - 1
+            ranges = pa.StructArray.from_arrays([pa.array(lo[first], pa.int32()), pa.array((reach[last] - wide[last]).astype(np.int32))], ["lo", "hi"])
+            edge = np.searchsorted(row[first], np.arange(len(batch) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edge), ranges)], ["text_key", "spans"])
+
+    return spans.mapInArrow(run, "text_key long, spans array<struct<lo:int,hi:int>>")
 
 
 # --- the index ------------------------------------------------------------------------------------------------------------
@@ -286,7 +317,7 @@ def search_shard(rows: pa.Table, window: int) -> pa.Table:
     number: dict[bytes, int] = {}
     parts, size, weight = [], [], []
     for p, n in met.values():
-        ids = [number.setdefault(x, len(number) + 1) for x in p.split(b" ")]
+        ids = [number.setdefault(x, len(number) + 1) for x in p.split()]
         parts += [*ids, 0]
         size.append(len(ids))
         weight.append(min(2, n))
@@ -310,33 +341,37 @@ def search_shard(rows: pa.Table, window: int) -> pa.Table:
 # --- the operator ---------------------------------------------------------------------------------------------------------
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """(text_key: xxhash64 of the text, spans array<struct<lo,hi>>: word ranges, possibly overlapping, that repeated windows cover)."""
-    prepare(docs.sparkSession)
-    anchor = min(ANCHOR, window)
-    texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    every = run_rows(texts, window, anchor)
+def _repeated_runs(texts: DataFrame, window: int) -> DataFrame:
+    """(text_key, runs) of the texts that have a segment whose minimiser is found again, checkpointed."""
+    every = run_rows(texts, window, min(ANCHOR, window))
     twice = every.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).filter("n >= 2")
     found = every.join(twice, "anchor")
     found = found.groupBy("text_key", "anchor", "first", "last").agg(F.count("*").cast("int").alias("copies"), (F.first("n") >= HOT).alias("hot"))
-    found = cut(found.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "first", "last", "hot", "copies")).alias("runs")))
+    return cut(found.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "first", "last", "hot", "copies")).alias("runs")))
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """(text_key: xxhash64 of the text, spans array<struct<lo,hi>>: the word ranges that repeated windows cover), checkpointed."""
+    prepare(docs.sparkSession)
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    found = _repeated_runs(texts, window)
     total = found.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("n")).first().n
     shards = max(1, -(-total // SHARD_SEGMENTS))
     wanted = texts.join(if_small(found.select("text_key")), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
     chosen = cut(wanted.join(found, "text_key"))
-    segments = segment_rows(chosen, window, shards, True)
+    segments = segment_rows(chosen, window, shards)
     repeats = segments.groupBy("shard").applyInArrow(lambda rows: search_shard(rows, window), "seg_a long, seg_b long, spans array<struct<lo:int,hi:int>>")
-    where = segment_rows(chosen, window, shards, False)
     # Segments of one hot window are alike in many texts; the join's skew is split at run time, rows are short.
-    spans = where.join(repeats, ["seg_a", "seg_b"]).select("text_key", F.transform("spans", lambda s: F.struct((s["lo"] + F.col("first")).alias("lo"), (s["hi"] + F.col("first")).alias("hi"))).alias("s"))
-    return spans.groupBy("text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("spans"))
+    spans = occurrences(chosen, window).join(repeats, ["seg_a", "seg_b"])
+    spans = spans.select("text_key", F.transform("spans", lambda s: F.struct((s["lo"] + F.col("first")).alias("lo"), (s["hi"] + F.col("first")).alias("hi"))).alias("s"))
+    return cut(merge_spans(spans.groupBy("text_key").agg(F.flatten(F.collect_list("s")).alias("spans"))))
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id_col, n_words, n_removed, spans, kept_text: the words that stay, joined by one space) of every row."""
-    spans = cut(repeated_spans(docs, window, text_col))
+    spans = repeated_spans(docs, window, text_col)
     total = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first().n
-    small = F.broadcast(spans) if total <= BROADCAST_ROWS else spans
+    small = F.broadcast(spans) if total <= BROADCAST_ROWS else spans  # of a counted size: 16 bytes a span
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_key")).join(small, "text_key", "left").select("id", "text", "spans")
 
     def run(batches):
