@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -33,15 +34,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return set_dir or sc._jsc.sc().getCheckpointDir().get()
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects the plans that made them; after a cut nothing needs them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def stored(df):
+    """A DataFrame written as compressed Parquet in the shared folder and read again: smaller than a checkpoint."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    release(spark)
+    return spark.read.parquet(path)
+
+
 def cut(df):
     """Reliable checkpoint of a DataFrame in the shared folder (never localCheckpoint)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
     del df
-    # Shuffle files go when the driver collects the plans that made them; after a cut nothing needs them.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return out
 
 
