@@ -126,10 +126,10 @@ def keys_of(shingles: np.ndarray, scheme: Scheme, common: np.ndarray) -> tuple[n
 
 
 def odd_sketch(shingles: np.ndarray, scheme: Scheme) -> bytes:
-    """Parity bits of the set, about eight for each difference that a partner may have; a power of two, at least 64."""
+    """Parity bits of the set, about sixteen for each difference that a partner may have; a power of two, at least 64."""
     bits = 64
     n = len(shingles)
-    while bits < 8 * (scheme.difference(n) + 1):
+    while bits < 16 * (scheme.difference(n) + 1):
         bits *= 2
     at = W.mix(shingles + W.U(0x1234567)) & W.U(bits - 1)
     return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
@@ -276,6 +276,7 @@ def remaining_pairs(rows: DataFrame, found: DataFrame, percent: int) -> DataFram
         return out
 
     def run(batches):
+        met: list[np.ndarray] = []  # a pair meets in many keys; a task tells it once
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
                 node, role, comp, n, sketch = arrays(left)
@@ -289,7 +290,13 @@ def remaining_pairs(rows: DataFrame, found: DataFrame, percent: int) -> DataFram
                     at = np.flatnonzero(able & (comp2 != comp[i]) & (np.abs(n2 - n[i]) <= most))
                     at = at[np.bitwise_count(x[i] ^ y[at]).sum(axis=1) <= most[at]]
                     a.append(np.minimum(node[i], node2[at])), b.append(np.maximum(node[i], node2[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in (a, b)], ["a", "b"])
+                met.append(np.unique(np.stack([np.concatenate(a), np.concatenate(b)]).astype(np.int64), axis=1))
+                if sum(x.shape[1] for x in met) > 500_000:
+                    met = [np.unique(np.concatenate(met, axis=1), axis=1)]
+                    if met[0].shape[1] > 250_000:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, met.pop())), ["a", "b"])
+        if met:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, np.unique(np.concatenate(met, axis=1), axis=1))), ["a", "b"])
 
     left = blocks.select("key", F.col("block").alias("x"), F.col("entries").alias("left"))
     right = blocks.select("key", F.col("block").alias("y"), F.col("entries").alias("right"))
