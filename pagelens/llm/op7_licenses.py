@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pagelens.session import table
 
 #: A sentence without one of these words is never a licence sentence.
-TRIGGER = "licen[cs]|copyright|spdx|warrant|permission|redistribut|liab|public domain|all rights reserved|notice"
+TRIGGER = "licen[cs]|copyright|spdx|warrant|permission|redistribut|liab|public domain|all rights reserved|notice|endorse"
 
 #: Sentence identifier, pattern of the normalised sentence; the first that matches counts.
 SENTENCES = [
