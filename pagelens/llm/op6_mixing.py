@@ -1,8 +1,7 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is its lower-cased words and an end mark; each token is spelt in bytes with a terminator, each byte in eight bits.
-Five bit predictors keep counts in hashed tables: the last byte, the last two, three and five bytes, and the whole spelling so
-far. A logistic mixer combines their stretched probabilities; its weight set is gated by how much the two longest contexts
+Four bit predictors keep counts in hashed tables: the last byte, the last three and five bytes, and the whole spelling so far. A logistic mixer combines their stretched probabilities; its weight set is gated by how much the two longest contexts
 have seen and by the place in the token. An adaptive probability map refines the mix by the last byte. The sum of the bits'
 logarithms is the text's probability.
 
@@ -19,7 +18,6 @@ nothing; an empty table gives an empty one; the result carries the id and the op
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -28,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm import words as W
-from pagelens.session import checkpoint_dir, cut, prepare, table
+from pagelens.session import prepare, release, stored, table
 
 #: Slots of the predictors' tables, as powers of two.
-TABLE_BITS = (16, 18, 20, 20, 20)
+TABLE_BITS = (16, 20, 20, 20)
+#: From this table on the contexts are long.
+LONG = 2
 #: The two longest contexts learn from words that are found so often: spellings seen once would crowd their tables.
 CONFIRMED = 2
 #: Tasks that learn side by side; bounds the copies of the tables, not the words.
@@ -119,7 +119,7 @@ class Spelling:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W._BYTE[data] * up[: len(data)])])
             begin = self.first[self.word]
             whole = W.mix((total[np.arange(len(data))] - total[begin]) * down[begin] + place.astype(np.uint64))
-            self.contexts = [last[0], two * np.uint32(0x9E3779B1), three, five, (whole >> W.U(32)).astype(np.uint32)]
+            self.contexts = [last[0], three, five, (whole >> W.U(32)).astype(np.uint32)]
 
     def bits(self):
         """(bit, slots of each table) for the eight bits of all bytes."""
@@ -160,7 +160,7 @@ def learn_counts(words: DataFrame) -> list[np.ndarray]:
             for bit, slots in s.bits():
                 for k, (t, slot) in enumerate(zip(tables, slots, strict=True)):
                     at = slot + (bit << np.uint32(TABLE_BITS[k]))
-                    if k < 3:
+                    if k < LONG:
                         np.add.at(t, at, weight.astype(np.float32))
                     else:
                         np.add.at(t, at[sure], weight[sure].astype(np.float32))
@@ -185,15 +185,15 @@ def _seen(n: np.ndarray) -> np.ndarray:
     return (n > 0.5).astype(np.int64) + (n > 3.5) + (n > 63.5)
 
 
-def _mixed(n0: list, n1: list, start: np.ndarray, weights: np.ndarray):
-    """(inputs, gate, probability of a one) from the predictors' counts."""
-    inputs = np.empty((len(n0) + 1, len(start)), np.float32)
-    for k, (a, b) in enumerate(zip(n0, n1, strict=True)):
-        inputs[k] = np.log((b + np.float32(0.02)) / (a + np.float32(0.02)))
-    inputs[-1] = 0.3
-    gate = (_seen(n0[-1] + n1[-1]) * 4 + _seen(n0[-2] + n1[-2])) * 2 + start
-    p = 1 / (1 + np.exp(-np.clip((weights[gate].T * inputs).sum(axis=0), -14, 14)))
-    return inputs, gate, p
+def _stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return np.log((n1 + np.float32(0.02)) / (n0 + np.float32(0.02)))
+
+
+def _mixed(inputs: np.ndarray, seen: tuple[np.ndarray, np.ndarray], start: np.ndarray, weights: np.ndarray):
+    """(gate, probability of a one) from the predictors' stretched probabilities and what the two longest contexts have seen."""
+    gate = (seen[1] * np.int64(4) + seen[0]) * 2 + start
+    mixed = np.einsum("ki,ik->i", inputs, weights.astype(np.float32)[gate])
+    return gate, 1 / (1 + np.exp(-np.clip(mixed, -14, 14).astype(np.float64)))
 
 
 def _map_place(last: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -216,19 +216,22 @@ def learn_mixer(words: DataFrame, tables: list[np.ndarray]) -> tuple[np.ndarray,
             s = Spelling(found)
             weight = counts[s.word]
             for bit, slots in s.bits():
-                n0, n1 = [], []
+                inputs, seen = np.full((len(slots) + 1, len(bit)), 0.3, np.float32), []
+                one = bit.astype(np.float32)
                 for k, slot in enumerate(slots):
-                    own = (weight >= CONFIRMED if k > 2 else weight > 0).astype(np.float32)
-                    n0.append(np.maximum(known[k][0][slot] - own * (bit == 0), 0))
-                    n1.append(np.maximum(known[k][1][slot] - own * (bit == 1), 0))
-                inputs, gate, p = _mixed(n0, n1, s.start, weights)
+                    own = (weight >= CONFIRMED).astype(np.float32) if k >= LONG else np.float32(1)
+                    n0 = np.maximum(known[k][0][slot] - own * (1 - one), 0)
+                    n1 = np.maximum(known[k][1][slot] - own * one, 0)
+                    inputs[k] = _stretch(n0, n1)
+                    if k >= LONG:
+                        seen.append(_seen(n0 + n1))
+                gate, p = _mixed(inputs, seen, s.start, weights)
                 error = (bit - p) * weight
                 step = np.stack([np.bincount(gate, error * x, GATES) for x in inputs], axis=1)
                 scale = np.bincount(gate, weight, GATES)[:, None] + 1
                 squares += (step / scale) ** 2
                 weights += RATE * (step / scale) / np.sqrt(squares)
-                np.add.at(refine[0], _map_place(s.last, p), weight * (bit == 0))
-                np.add.at(refine[1], _map_place(s.last, p), weight * (bit == 1))
+                refine += np.bincount(_map_place(s.last, p) + bit * np.int64(refine.shape[1]), weight, refine.size).reshape(refine.shape)
             mass += weight.sum()
         if mass:
             yield pa.RecordBatch.from_arrays([pa.array([mass]), pa.array([(weights * mass).tobytes()], pa.binary()), pa.array([(refine - start_refine).tobytes()], pa.binary())], ["mass", "weights", "refine"])
@@ -248,11 +251,16 @@ def score_words(words: DataFrame, tables: list[np.ndarray], weights: np.ndarray,
     def run(batches):
         known, w, r = shared.value
         refined = r[1] / (r[0] + r[1])
+        stretched = [_stretch(*t) for t in known]
+        seen = [_seen(t[0] + t[1]).astype(np.int8) for t in known[LONG:]]
         for found, counts in spelt(batches):
             s = Spelling(found)
             total = np.zeros(len(s.byte))
             for bit, slots in s.bits():
-                _, _, p = _mixed([known[k][0][x] for k, x in enumerate(slots)], [known[k][1][x] for k, x in enumerate(slots)], s.start, w)
+                inputs = np.full((len(slots) + 1, len(bit)), 0.3, np.float32)
+                for k, slot in enumerate(slots):
+                    inputs[k] = stretched[k][slot]
+                _, p = _mixed(inputs, (seen[0][slots[LONG]], seen[1][slots[LONG + 1]]), s.start, w)
                 p = np.clip((p + refined[_map_place(s.last, p)]) / 2, LEAST, 1 - LEAST)
                 total += np.log10(np.where(bit == 1, p, 1 - p))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(np.add.reduceat(total, s.first))], ["word", "c", "score"])
@@ -266,21 +274,21 @@ def score_words(words: DataFrame, tables: list[np.ndarray], weights: np.ndarray,
 def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of every row."""
     spark = prepare(docs.sparkSession)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
-    chunks(docs, text_col, id_col).write.option("compression", "zstd").parquet(path)
-    coded = spark.read.parquet(path)
+    coded = stored(chunks(docs, text_col, id_col))
 
     def vocabulary() -> DataFrame:
         pairs = F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "pair")
         return coded.select("chunk", pairs).select("chunk", "pos", F.col("pair.words").alias("word"), F.col("pair.counts").alias("n"))
 
-    words = cut(vocabulary().groupBy("word").agg(F.sum("n").cast("long").alias("c")))
+    words = stored(vocabulary().groupBy("word").agg(F.sum("n").cast("long").alias("c")))
     learned = words.filter("c > 0")
     total, distinct = learned.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tables = learn_counts(learned)
+    release(spark)
     weights, refine = learn_mixer(learned, tables)
-    scored = cut(score_words(words, tables, weights, refine))
-    back = vocabulary().join(scored, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c", "score")).alias("scores"))
+    scored = stored(score_words(words, tables, weights, refine))
+    release(spark)
+    back = vocabulary().drop("n").join(scored, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c", "score")).alias("scores"))
     rows = coded.select("chunk", "ids", "held", "sizes", "tokens", F.transform("words", lambda w: F.octet_length(w)).alias("lengths")).join(back, "chunk")
     kind = dict(docs.dtypes)[id_col]
 
