@@ -36,7 +36,7 @@ LONG = 2
 CONFIRMED = 2
 #: Tasks that learn side by side; bounds the copies of the tables, not the words.
 LEARNERS = 12
-CHUNK_WORDS, CHUNK_TOKENS = 60_000, 1_000_000
+CHUNK_WORDS, CHUNK_TOKENS = 180_000, 1_200_000
 BATCH_BYTES = 100_000
 END = b"\n"
 GATES = 2 * 4 * 4
@@ -54,7 +54,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def chunks(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """One row for about a thousand texts: ids, folds, sizes, token numbers (uint16), the chunk's words and their training counts."""
+    """One row for some thousands of texts: ids, folds, sizes, token numbers (16 or 32 bits), the chunk's words and their training counts."""
     kind = dict(docs.dtypes)[id_col]
     schema = f"chunk long, ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, words array<binary>, counts array<int>"
 
@@ -66,7 +66,7 @@ def chunks(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
         def flush():
             flat = np.concatenate(tokens)
-            learned = np.concatenate([t for t, h in zip(tokens, held, strict=True) if not h] or [np.zeros(0, np.int64)])
+            learned = np.concatenate([t for t, h in zip(tokens, held, strict=True) if not h] or [np.zeros(0, np.int32)])
             counts = np.bincount(learned, minlength=len(number)).astype(np.int32)
             # A text of more different words than numbers of 16 bits has its tokens in 32.
             packed = flat.astype(np.uint16 if len(number) <= 1 << 16 else np.uint32).tobytes()
@@ -77,12 +77,12 @@ def chunks(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
             id_type = batch.column(0).type
             for i, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = (text or "").encode().translate(_LOWER).split()
-                if ids and (len(number) > CHUNK_WORDS or total > CHUNK_TOKENS or len(number) + len(found) > 1 << 16 and len(found) > 1 << 14):
+                if ids and (len(number) > CHUNK_WORDS or total > CHUNK_TOKENS):
                     yield flush()
                     made += 1
                     number, ids, held, tokens, sizes, total = {END: 0}, [], [], [], [], 0
                 put = number.setdefault
-                mine = np.array([put(x, len(number)) for x in found] + [0], np.int64)
+                mine = np.array([put(x, len(number)) for x in found] + [0], np.int32)
                 ids.append(i), held.append(h), tokens.append(mine), sizes.append(len(mine))
                 total += len(mine)
         if ids:
