@@ -36,7 +36,7 @@ LONG = 2
 CONFIRMED = 2
 #: Tasks that learn side by side; bounds the copies of the tables, not the words.
 LEARNERS = 12
-CHUNK_WORDS, CHUNK_TOKENS = 180_000, 1_200_000
+CHUNK_WORDS, CHUNK_TOKENS = 260_000, 2_000_000
 BATCH_BYTES = 100_000
 END = b"\n"
 GATES = 2 * 4 * 4
