@@ -4,7 +4,7 @@ The distinct five-word shingles of a text go through ``PERMUTATIONS`` multiply-s
 all texts of a block at once; the least value of each is a component of the fingerprint (16 bits of it, in hex). The share of
 equal components estimates the Jaccard similarity. ``near_duplicates`` joins bands of the signature in Spark and verifies
 each candidate's exact Jaccard; equal shingle sets are one class beforehand, and a band's bucket links each class to the
-bucket's least class before any other pair, so that large groups cost no square number of pairs.
+bucket's least class only, so that large groups cost no square number of pairs.
 
 Cases: a null text is empty; an empty text has the fingerprint of no shingle (every minimum at its maximum), which is
 like itself only; a text of fewer than five words is one shingle; rows with equal ids follow each other in text order, a null
@@ -176,3 +176,37 @@ def compare_with_next(docs: DataFrame, n: int = PERMUTATIONS, text_col: str = "t
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 25, rows: int = 5, k: int = WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id_col, component_id: least id) by MinHash bands: each class of a band's bucket against the bucket's least class, verified exactly on lower-cased shingle sets."""
+    from pagelens.llm import graph, op4_jaccard
+    from pagelens.session import cut
+
+    prepare(docs.sparkSession)
+    a, b = permutations(bands * rows)
+    found = cut(op4_jaccard.classes(docs, k, percent, text_col, id_col))
+
+    def run(batches):
+        for batch in batches:
+            for block in W.blocks(batch.column(0)):
+                w = W.words(block, lower=True)
+                sets = W.shingle_sets(w, len(block.offsets) - 1, k)
+                low = W.Block(block.row, W.LOWER[block.data], block.offsets)
+                some = [i for i, s in enumerate(sets) if len(s)]
+                if not some:
+                    continue
+                parts = signatures(low, a, b, k)[some].reshape(len(some), bands, rows).astype(np.uint64)
+                key = W.mix(sum(parts[:, :, j] << W.U(16 * (j % 4)) for j in range(4)) ^ W.mix(sum(parts[:, :, j] * W.U(2 * j + 3) for j in range(4, rows)) + np.arange(bands, dtype=np.uint64) * W.U(0x9E3779B97F4A7C15)))
+                nodes = np.repeat(np.array([op4_jaccard._class(sets[i]) for i in some], np.int64), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(nodes)], ["key", "node"])
+
+    keyed = docs.select(text_col).mapInArrow(run, "key long, node long").distinct()
+    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most").select("key", "a")
+    pairs = cut(keyed.join(least, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = cut(op4_jaccard.shingles_of(docs, nodes, found, k, text_col, id_col))
+    linked = graph.components(graph.verified(pairs, sets, percent))
+    labelled = found.join(linked, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = labelled.filter("comp is not null").groupBy("comp").agg(F.min(id_col).alias("component_id"))
+    return labelled.join(first, "comp", "left").select(id_col, F.coalesce("component_id", id_col).alias("component_id"))

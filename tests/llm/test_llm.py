@@ -308,3 +308,10 @@ def test_pipeline_stages(spark, docs):
         now = spark.createDataFrame(after.collect(), docs.schema)
     out = pipeline.STAGES[-1][1](spark, now, "")
     assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in now.collect())
+
+
+def test_minhash_near_duplicates(spark, docs, empty):
+    want = {(i, c) for i, _, c in brute_components(corpus(), 5, 80)}
+    got = {tuple(r) for r in op5_minhash.near_duplicates(docs).collect()}
+    assert len(got & want) >= 0.98 * len(want)
+    assert op5_minhash.near_duplicates(empty).count() == 0
