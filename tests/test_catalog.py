@@ -8,19 +8,21 @@ import duckdb
 import pytest
 
 from pagelens.functions import urls
-from pagelens.plans import catalog
+from pagelens.plans import catalog, site_catalog
 
 SF = "/root/testdata/sf0.001"
+QUERIES = catalog.QUERIES | site_catalog.QUERIES
+ORACLES = catalog.ORACLES | site_catalog.ORACLES
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_is_as_its_sql(spark, name):
     c = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         c.sql(f"create view {os.path.basename(f)[:-8]} as select * from read_parquet('{f}')")
-    rows = catalog.QUERIES[name](spark, SF)
+    rows = QUERIES[name](spark, SF)
     columns = sorted(rows.columns)
-    want = c.sql(catalog.ORACLES[name])
+    want = c.sql(ORACLES[name])
     assert sorted(want.columns) == columns
     assert Counter(map(tuple, rows.select(*columns).collect())) == Counter(want.project(", ".join(columns)).fetchall())
 
