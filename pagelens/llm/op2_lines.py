@@ -22,6 +22,8 @@ MIN_SITES = 6
 LG_K = 12
 #: Estimates within this share of the threshold are counted exactly; many times the sketch's error.
 NEAR = 0.25
+#: Tasks that share the rows of one line when they meet its verdict; verdicts are copied as often, and are few.
+SALTS = 32
 _SPACE = "\t\n\x0b\f\r "
 
 
@@ -38,6 +40,14 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Da
     return rows.select("__line_id", "__line_text", "__line_pos", "__line_site", F.xxhash64("__line_raw").alias("__line_a"), F.xxhash64(F.lit(1), "__line_raw").alias("__line_b"))
 
 
+def _salted(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("__line_salt", F.pmod(F.xxhash64("__line_id", "__line_text"), F.lit(SALTS)).cast("int"))
+
+
+def _copied(verdicts: DataFrame) -> DataFrame:
+    return verdicts.withColumn("__line_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, near: float = NEAR) -> DataFrame:
     """Hashes of the lines on at least ``min_sites`` sites, with their first carrier."""
     keys = ["__line_a", "__line_b"]
@@ -48,7 +58,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     spread = spread.filter(F.col("__line_sites") >= max(1, min_sites - max(1, near * min_sites)))
     doubtful = F.col("__line_sites") < min_sites + max(1, near * min_sites)
     exact = (
-        lines.join(spread.filter(doubtful).select(*keys), keys, "left_semi")
+        _salted(lines)
+        .join(_copied(spread.filter(doubtful).select(*keys)), [*keys, "__line_salt"], "left_semi")
         .filter("__line_site is not null")
         .groupBy(*keys, "__line_site")
         .agg(F.lit(1).alias("__line_one"))
@@ -63,7 +74,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     """``docs`` with boilerplate lines gone from the text, plus ``n_lines`` and ``n_removed`` (of non-blank lines)."""
     lines = line_table(docs, id_col, text_col, site_col)
     bad = boilerplate(lines, min_sites)
-    hit = lines.join(bad, ["__line_a", "__line_b"])
+    hit = _salted(lines).join(_copied(bad), ["__line_a", "__line_b", "__line_salt"])
     if keep_first:
         hit = hit.filter(~F.struct("__line_id", "__line_text", "__line_pos").eqNullSafe(F.col("__line_first")))
     gone = hit.groupBy("__line_id", "__line_text").agg(F.collect_set("__line_pos").alias("__line_gone"))
