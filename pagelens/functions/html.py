@@ -1,5 +1,7 @@
 """Document structure by regular expressions: the part of a page's evidence that needs no parser."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,17 @@ def flags(html: Column) -> dict[str, Column]:
     }
 
 
+# The references that pages use for characters with a meaning of their own; the ampersand comes last.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def decoded(text: Column) -> Column:
+    """The text with its common character references resolved."""
+    return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), REFERENCES.items(), text)
+
+
 def title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return F.trim(decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def lang(html: Column) -> Column:

@@ -93,3 +93,25 @@ LEGAL_PAIRS = ["pvt ltd", "private limited", "pty ltd"]
 LEGAL_WORDS = "llp llc inc ltd limited gmbh bv nv sa srl spa plc corp corporation incorporated sarl ag oy ab kk co".split()
 NAME_STOPWORDS = ["the", "a", "an", "and", "of", "for", "&"]
 SOCIAL_HOSTS = ["linkedin.com", "twitter.com", "x.com", "facebook.com", "instagram.com", "youtube.com", "github.com", "crunchbase.com", "wikipedia.org", "wikidata.org", "tiktok.com", "pinterest.com", "threads.net", "mastodon"]
+
+# Words of a call to act.
+CALLS = ["buy", "get started", "sign up", "signup", "contact", "book", "request", "demo", "subscribe", "learn more", "start", "try", "order", "quote", "apply", "download", "shop", "call"]
+# Agents of AI applications as robots.txt names them.
+AI_AGENTS = "gptbot oai-searchbot chatgpt-user claudebot claude-user claude-searchbot anthropic-ai perplexitybot perplexity-user google-extended applebot-extended ccbot bytespider amazonbot meta-externalagent cohere-ai youbot diffbot".split()
+# Types of structured data that name an organisation, or a product.
+ORGANISATION_TYPES = "organization corporation localbusiness onlinestore store ngo educationalorganization website professionalservice restaurant medicalorganization".split()
+PRODUCT_TYPES = "product productgroup offer aggregateoffer".split()
+# What a block of structured data of a type must hold.
+EXPECTED = {
+    "organization": ["name", "url"],
+    "corporation": ["name", "url"],
+    "localbusiness": ["name"],
+    "onlinestore": ["name", "url"],
+    "website": ["name", "url"],
+    "product": ["name"],
+    "article": ["headline", "datePublished"],
+    "newsarticle": ["headline", "datePublished"],
+    "blogposting": ["headline", "datePublished"],
+    "faqpage": ["mainEntity"],
+    "breadcrumblist": ["itemListElement"],
+}

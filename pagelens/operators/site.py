@@ -19,8 +19,8 @@ LISTED = 25
 _HIDDEN = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("head", "script", "style", "noscript", "template", "svg", "canvas"))
 #: What no visitor reads: hidden elements, comments, tags and character references.
 INVISIBLE = [rf"(?is){_HIDDEN}|<!--.*?-->", r"(?s)<[^>]*>", r"&[A-Za-z0-9#]+;"]
-ORGANISATION = r"(?i)\"@type\"\s*:\s*\"(organization|corporation|localbusiness|store|onlinestore)\""
-PRODUCT = r"(?i)\"@type\"\s*:\s*\"product\""
+_TYPED = r"(?i)\"@type\"\s*:\s*\"({})\""
+ORGANISATION, PRODUCT = _TYPED.format("|".join(V.ORGANISATION_TYPES)), _TYPED.format("|".join(V.PRODUCT_TYPES))
 
 
 def visible_text(page: Column) -> Column:

@@ -79,7 +79,10 @@ def primary_language(spark, d):
 FLAGSHIP = "pages_per_site"
 QUERIES = {f.__name__: f for f in (url_columns, url_normalize_abs, html_flags, html_title_lang, html_counts, page_links, pages_per_site, document_word_count, conversation_word_count, document_emails, customer_phone, primary_language)}
 
-_TITLE = "trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+for _written, _meant in html.REFERENCES.items():
+    _TITLE = f"replace({_TITLE}, '{_written}', '{_meant.replace(chr(39), chr(39) * 2)}')"
+_TITLE = f"trim({_TITLE})"
 _N = lambda p: f"len(regexp_extract_all(html, '{p}'))::BIGINT"
 _DEPTH = f"CASE WHEN regexp_replace({PATH}, '^/+|/+$', '', 'g') = '' THEN 0 ELSE len(string_split(regexp_replace({PATH}, '^/+|/+$', '', 'g'), '/')) END::INTEGER"
 ORACLES = {

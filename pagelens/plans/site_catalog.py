@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import classify, facts, text
 from pagelens.functions import vocab as V
+from pagelens.operators import parse
 from pagelens.operators import site as S
+from pagelens.plans.catalog import _TITLE
 from pagelens.session import table
 
 SITES = 8
@@ -84,11 +86,11 @@ def navigation_strength(spark, d):
 
 def site_findings(spark, d):
     rows = S.findings(evidence(spark, d))
-    return rows.select("site", "check", "affected", "sample", "reach", "severity", "confidence", "priority", "priority_score", "dimension", F.array_join("urls", " ").alias("urls"))
+    return rows.select("site", F.col("check").alias("check_id"), "affected", "sample", "reach", "severity", "confidence", "priority", "priority_score", "dimension", F.array_join("urls", " ").alias("urls"))
 
 
 def findings_ranked(spark, d):
-    return S.ranked(S.findings(evidence(spark, d))).select("site", "finding_id", "check", "severity", "priority", "priority_score", "affected", F.size("urls").alias("listed"))
+    return S.ranked(S.findings(evidence(spark, d))).select("site", "finding_id", F.col("check").alias("check_id"), "severity", "priority", "priority_score", "affected", F.size("urls").alias("listed"))
 
 
 def dimension_scores(spark, d):
@@ -130,7 +132,7 @@ def severity_matrix(spark, d):
     cases = cases.withColumn("severity", classify.severity(F.col("check"), F.col("reach"), F.col("important")))
     cases = cases.withColumn("confidence", classify.confidence(F.col("sample"), F.col("affected"), F.col("important"), F.lit(False), F.lit(1)))
     band, score = classify.priority(F.col("severity"), F.col("check"), F.col("reach"), F.col("confidence"))
-    return cases.withColumn("priority", band).withColumn("priority_score", score)
+    return cases.withColumn("priority", band).withColumn("priority_score", score).withColumnRenamed("check", "check_id")
 
 
 def script_dependence(spark, d):
@@ -151,7 +153,13 @@ def language_mode(spark, d):
     return n.groupBy("site").agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("lang"), F.max("n").alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (page_text_words, link_indegree, page_role, resource_kind, role_histogram, sitemap_coverage, repeated_links, navigation_strength, site_findings, findings_ranked, dimension_scores, canonical_to_broken, org_names, name_prefixes, title_brands, social_links, severity_matrix, script_dependence, language_mode)}
+def parsed_pages(spark, d):
+    """What the tree walk finds in each page, whatever regular expressions make of it."""
+    rows = parse.parsed_pages(table(spark, d, "pages"))
+    return rows.select("page_id", "title", "lang", "words", "headings_total", "images", "forms", "has_nav", "has_main", F.size("h1").cast("long").alias("h1_total"))
+
+
+QUERIES = {f.__name__: f for f in (parsed_pages, page_text_words, link_indegree, page_role, resource_kind, role_histogram, sitemap_coverage, repeated_links, navigation_strength, site_findings, findings_ranked, dimension_scores, canonical_to_broken, org_names, name_prefixes, title_brands, social_links, severity_matrix, script_dependence, language_mode)}
 
 # --- the SQL --------------------------------------------------------------------------------------------------------------
 
@@ -171,7 +179,7 @@ _LINKS = f"""links AS (SELECT DISTINCT p.page_id AS src, q.page_id AS dst, k < 1
  JOIN pages q ON q.page_id = CASE WHEN k < 10 THEN p.page_id % {SITES} + {SITES} * k ELSE p.page_id + {SITES} * (k - 10) END WHERE p.page_id <> q.page_id)"""
 _ROLE = " ".join(f"WHEN list_has_any(tokens, {_of(w)}) THEN '{r}'" for r, w in V.ROLE_WORDS.items()) + " " + " ".join(f"WHEN regexp_matches(lower(title || ' ' || h1), '{'|'.join(p)}') THEN '{r}'" for r, p in V.TITLE_PHRASES.items())
 _EVIDENCE = rf"""{_PAGES}, {_LINKS},
-said AS (SELECT *, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, lower(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')) AS h1,
+said AS (SELECT *, {_TITLE} AS title, lower(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')) AS h1,
  {_N(r'(?i)<h1[\s>]')} AS h1_total, {_N(r'(?i)<img[\s>]')} AS images, greatest({_N(r'(?i)<img[\s>]')} - {_N(r'(?i)<img[^>]*\salt=["' + chr(39) * 2 + r'][^"' + chr(39) * 2 + r']*[^"' + chr(39) * 2 + r'\s]')}, 0) AS images_without_alt,
  regexp_matches(left(html, 4096), '(?i)<html[\s>]') AS has_html, regexp_matches(left(html, 8192), '(?i)<head[\s>]') AS has_head, regexp_matches(html, '(?i)<nav[\s>]|role=["'']navigation["'']') AS has_nav,
  regexp_matches(html, '(?i)<meta[^>]*(name=["'']description["'']|property=["'']og:description["''])') AS described, regexp_matches(html, '(?i)<meta[^>]*name=["'']robots["''][^>]*noindex') AS noindex,
@@ -250,6 +258,8 @@ _FINAL = _priced("named").replace("priced AS", "final AS", 1)
 
 _ORG = lambda x: rf"lower(trim(regexp_replace(regexp_replace({x}, '[^A-Za-z0-9& .]', ' ', 'g'), '\s+', ' ', 'g')))"
 ORACLES = {
+    "parsed_pages": rf"""SELECT page_id, {_TITLE} AS title, trim(regexp_extract(html, '(?i)<html[^>]*\slang=["'']([^"'']*)["'']', 1)) AS lang, {_WORDS} AS words, {_N(r'(?i)<h[1-6][\s>]')} AS headings_total, {_N(r'(?i)<img[\s>]')} AS images,
+ {_N(r'(?i)<form[\s>]')} AS forms, regexp_matches(html, '(?i)<nav[\s>]|role=["'']navigation["'']') AS has_nav, regexp_matches(html, '(?i)<main[\s>]|role=["'']main["'']') AS has_main, {_N(r'(?i)<h1[\s>]')} AS h1_total FROM pages""",
     "page_text_words": f"SELECT page_id, {_WORDS} AS words FROM pages",
     "link_indegree": f"WITH {_LINKS} SELECT dst AS page_id, count(DISTINCT src) AS incoming, bool_or(is_nav) AS in_nav FROM links GROUP BY dst",
     "page_role": f"WITH {_EVIDENCE} SELECT page_id, site, role, importance, incoming, in_nav, words FROM evidence",
@@ -263,8 +273,8 @@ ORACLES = {
  u AS (SELECT t.*, (SELECT count(*) FROM shared s WHERE s.site = t.site AND k >= greatest(3, round(0.6 * t.pages))) AS repeated, (o[(pages + 1) // 2] + o[pages // 2 + 1]) // 2 AS median_links FROM t)
  SELECT site, pages, landmark_share, home_links, repeated, median_links, CASE WHEN pages < 3 THEN CASE WHEN landmark_share >= 0.5 OR home_links >= 4 THEN 'probable' WHEN home_links >= 1 THEN 'weak' ELSE 'absent' END
  WHEN landmark_share >= 0.5 AND repeated >= 3 THEN 'strong' WHEN landmark_share >= 0.5 OR repeated >= 3 THEN 'probable' WHEN median_links >= 2 OR home_links >= 4 THEN 'weak' ELSE 'absent' END AS strength FROM u""",
-    "site_findings": f'WITH {_FINDINGS} SELECT site, "check", affected, sample, reach, severity, confidence, priority, priority_score, dimension, urls FROM found',
-    "findings_ranked": f"""WITH {_RANKED}, {_FINAL} SELECT site, printf('F-%03d', row_number() OVER (PARTITION BY site ORDER BY rank DESC, priority_score DESC, ordinal, scope)) AS finding_id, "check", severity, {_BAND} AS priority, priority_score, affected, listed FROM final""",
+    "site_findings": f'WITH {_FINDINGS} SELECT site, "check" AS check_id, affected, sample, reach, severity, confidence, priority, priority_score, dimension, urls FROM found',
+    "findings_ranked": f"""WITH {_RANKED}, {_FINAL} SELECT site, printf('F-%03d', row_number() OVER (PARTITION BY site ORDER BY rank DESC, priority_score DESC, ordinal, scope)) AS finding_id, "check" AS check_id, severity, {_BAND} AS priority, priority_score, affected, listed FROM final""",
     "dimension_scores": f"""WITH {_RANKED}, lost AS (SELECT site, dimension, sum(round({_case('severity', V.PENALTY, 10.0)}::DOUBLE * (0.4 + 0.6 * greatest(0.1, least(CASE WHEN reach = 0 THEN 0.3 ELSE reach END, 1))) * confidence, 6)::DECIMAL(18, 6)) AS lost FROM named GROUP BY site, dimension),
  judged AS (SELECT site, bool_or(is_html) AS judged FROM evidence GROUP BY site), grid AS (SELECT site, judged, unnest(['discoverability', 'content_accessibility', 'entity_clarity', 'engagement']) AS dimension FROM judged),
  scored AS (SELECT g.site, g.dimension, CASE WHEN judged THEN round_even(greatest(0, 100 - coalesce(lost, 0)::DOUBLE), 0)::INTEGER END AS score FROM grid g LEFT JOIN lost l ON l.site = g.site AND l.dimension = g.dimension)
@@ -275,7 +285,7 @@ ORACLES = {
     "title_brands": f"SELECT page_id, 'site' || (page_id % {SITES}) || '.example' AS brand FROM pages",
     "social_links": f"SELECT DISTINCT page_id % {SITES} AS site, 'https://www.linkedin.com/company/' || (page_id % {SITES}) AS social FROM pages WHERE page_id % 3 = 0",
     "severity_matrix": f"""WITH cases AS (SELECT DISTINCT doc_id % 11 / 10 AS raw_reach, doc_id % 2 = 0 AS important, doc_id % 13 AS sample FROM labels), wide AS (SELECT *, unnest({_of(_BASE)}) AS "check", least(sample, 3) AS affected FROM cases),
- {_judged('wide', 'important', 'false')} SELECT reach, important, sample, "check", affected, severity, confidence, {_BAND} AS priority, priority_score FROM priced""",
+ {_judged('wide', 'important', 'false')} SELECT reach, important, sample, "check" AS check_id, affected, severity, confidence, {_BAND} AS priority, priority_score FROM priced""",
     "script_dependence": f"""WITH raw AS (SELECT page_id, {_WORDS} AS raw FROM pages), more AS (SELECT doc_id AS page_id, len(regexp_extract_all(coalesce(text, ''), '{text.WORD.replace(chr(39), chr(39) * 2)}')) AS added FROM documents)
  SELECT page_id, added, {_r('added / greatest(raw + added, 1)', 3)} AS ratio, raw + added >= 30 AND {_r('added / greatest(raw + added, 1)', 3)} >= 0.35 AND added >= 40 AS depends FROM raw JOIN more USING (page_id)""",
     "language_mode": rf"""WITH {_PAGES}, n AS (SELECT site, lower(split_part(trim(regexp_extract(html, '(?i)<html[^>]*\slang=["'']([^"'']*)["'']', 1)), '-', 1)) AS lang, count(*) AS n FROM pages0 GROUP BY ALL)
