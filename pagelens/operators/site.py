@@ -140,6 +140,26 @@ def _page_checks() -> dict[str, Column]:
     }
 
 
+def _wider_checks() -> dict[str, tuple[list[str], Column]]:
+    """Checks over columns that only a crawl, a renderer or the parser gives: (the columns, the pages they are about)."""
+    c = F.col
+    important = c("importance") >= IMPORTANT
+    said = lambda name: F.size(F.coalesce(c(name), F.array().cast("array<string>")))
+    astray = ~urls.same_site(urls.registrable_host(urls.host(c("canonical"))), c("site")) | ~F.coalesce(c("canonical_status").between(200, 299), F.lit(True))
+    return {
+        "important_page_robots_blocked": (["robots_allowed"], ~c("robots_allowed") & important & c("role").isin(V.CONTENT_ROLES)),
+        "redirect_chain": (["redirects"], c("redirects") >= 2),
+        "noindex_header_on_important_page": (["robots_header"], F.contains(F.lower("robots_header"), F.lit("noindex")) & important),
+        "js_dependent_content": (["rendered", "script_dependent"], c("rendered") & c("script_dependent")),
+        "canonical_conflict": (["canonical", "canonical_status"], c("is_html") & important & (c("canonical") != c("url")) & astray),
+        "invalid_structured_data": (["jsonld_errors"], said("jsonld_errors") > 0),
+        "incomplete_structured_data": (["defects"], c("is_html") & (said("defects") > 0)),
+        "no_next_step": (["ctas"], important & c("role").isin(NEXT_ROLES) & (said("ctas") == 0) & (c("out_links") <= 3)),
+    }
+
+
+# Roles whose pages should lead on.
+NEXT_ROLES = ["home", "products", "services", "pricing", "about"]
 #: check: (pages it is measured against, least number of hits, least share of them, least size of the base)
 TRIGGERS = {
     "sitemap_missing_important_pages": ("important", 2, 0.0, 0),
@@ -154,22 +174,38 @@ TRIGGERS = {
     "facts_in_images": ("important", 1, 0.0, 0),
     "page_identity_unclear": ("important", 1, 0.0, 0),
     "context_loss_orphan": ("inner", 2, 0.3, 3),
+    "important_page_robots_blocked": ("important", 1, 0.0, 0),
+    "redirect_chain": ("pages", 1, 0.0, 0),
+    "noindex_header_on_important_page": ("important", 1, 0.0, 0),
+    "js_dependent_content": ("rendered", 1, 0.0, 0),
+    "canonical_conflict": ("important", 1, 0.0, 0),
+    "invalid_structured_data": ("pages", 1, 0.0, 0),
+    "incomplete_structured_data": ("html", 1, 0.0, 0),
+    "no_next_step": ("leading", 1, 0.0, 0),
 }
+#: Checks that concern important pages only if one is hit, and those that never do.
+IF_HIT, NEVER = ["important_page_http_error", "js_dependent_content"], ["redirect_chain"]
 #: Checks whose evidence is weaker without a rendered page.
 UNRENDERED = ["thin_important_page", "facts_in_images"]
 ENGAGEMENT = ["home_purpose_unclear", "page_identity_unclear", "missing_nav_landmark", "weak_navigation", "no_next_step", "context_loss_orphan"]
-DIMENSION = {"thin_important_page": "content_accessibility", "facts_in_images": "content_accessibility", "js_dependent_content": "content_accessibility", "missing_organization_identity": "entity_clarity", "missing_product_structured_data": "entity_clarity"}
+DIMENSION = {"invalid_structured_data": "entity_clarity", "incomplete_structured_data": "entity_clarity", "no_corroborating_entity_links": "entity_clarity", "entity_name_conflict": "entity_clarity", "contact_fact_conflict": "fact_consistency", "structured_visible_mismatch": "fact_consistency", "freshness_risk": "freshness", "thin_important_page": "content_accessibility", "facts_in_images": "content_accessibility", "js_dependent_content": "content_accessibility", "missing_organization_identity": "entity_clarity", "missing_product_structured_data": "entity_clarity"}
 
 
 def findings(evidence: DataFrame) -> DataFrame:
-    """One row for each (site, check) that fires, with reach, severity, confidence, priority and at most 25 addresses in page order."""
+    """One row for each (site, check) that fires, with reach, severity, confidence, priority and at most 25 addresses in page order.
+
+    Checks whose columns the evidence lacks are left out; a null in such a column says nothing against its page."""
     c = F.col
+    has = set(evidence.columns)
+    checks = _page_checks() | {name: cond for name, (need, cond) in _wider_checks().items() if has.issuperset(need)}
     totals = evidence.groupBy("site").agg(
         F.count("*").alias("pages"), F.count_if(c("importance") >= IMPORTANT).alias("important"), F.count_if("is_html").alias("html"),
         F.count_if(c("is_html") & (c("role") == "products")).alias("products"), F.count_if(c("is_html") & (c("role") != "home")).alias("inner"),
         F.count_if(c("is_html") & c("names_organisation")).alias("organisations"), F.max("in_sitemap").alias("sitemap"),
+        (F.count_if("rendered") if "rendered" in has else F.lit(0).cast("long")).alias("rendered"),
+        F.count_if((c("importance") >= IMPORTANT) & c("role").isin(NEXT_ROLES)).alias("leading"),
     )
-    hit = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in _page_checks().items()]))
+    hit = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks.items()]))
     hits = evidence.select("site", "url", "importance", "depth", F.explode(hit).alias("check"))
     order = Window.partitionBy("site", "check").orderBy(F.desc("importance"), "depth", "url")
     listed = hits.withColumn("place", F.row_number().over(order)).filter(c("place") <= LISTED).groupBy("site", "check").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x.url).alias("urls"))
@@ -180,12 +216,19 @@ def findings(evidence: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", base).filter((c("affected") >= F.greatest(pick(1).cast("double"), pick(2) * c("base"))) & (c("base") >= pick(3)))
     rows = rows.filter((c("check") != "sitemap_missing_important_pages") | c("sitemap"))
     sample = F.greatest(c("base"), F.lit(1))
-    by_page = rows.select("site", "check", "urls", "affected", sample.alias("sample"), (c("affected") / sample).alias("reach"), F.when(c("check") == "important_page_http_error", c("any_important")).otherwise(True).alias("hits_important"))
+    by_page = rows.select("site", "check", "urls", "affected", sample.alias("sample"), (c("affected") / sample).alias("reach"), F.when(c("check").isin(IF_HIT), c("any_important")).otherwise(~c("check").isin(NEVER)).alias("hits_important"))
     none = F.array().cast("array<string>").alias("urls")
     no_sitemap = totals.filter(~c("sitemap") & (c("html") >= 5)).select("site", F.lit("sitemap_missing").alias("check"), none, F.lit(1).cast("long").alias("affected"), c("html").alias("sample"), F.lit(0.5).alias("reach"), F.lit(False).alias("hits_important"))
     nameless = totals.filter((c("organisations") == 0) & (c("html") >= 3)).select("site", F.lit("missing_organization_identity").alias("check"), none, c("html").alias("affected"), c("html").alias("sample"), F.lit(1.0).alias("reach"), F.lit(True).alias("hits_important"))
-    rows = by_page.unionByName(no_sitemap).unionByName(nameless)
-    rows = rows.withColumn("severity", classify.severity(c("check"), c("reach"), c("hits_important"))).withColumn("reach", classify.rounded(c("reach"), 3))
+    return judged(by_page.unionByName(no_sitemap).unionByName(nameless))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Raised rows (site, check, urls, affected, sample, reach, hits_important and, if severities are forced, forced) with their verdicts."""
+    c = F.col
+    forced = c("forced") if "forced" in rows.columns else None
+    rows = rows.withColumn("severity", classify.severity(c("check"), c("reach"), c("hits_important"), forced)).drop("forced")
+    rows = rows.withColumn("reach", classify.rounded(c("reach"), 3))
     rows = rows.withColumn("confidence", classify.confidence(c("sample"), c("affected"), F.lit(True), c("check").isin(UNRENDERED), F.lit(1)))
     band, score = classify.priority(c("severity"), c("check"), c("reach"), c("confidence"))
     dimension = F.when(c("check").isin(ENGAGEMENT), "engagement").otherwise(F.coalesce(classify._map(DIMENSION)[c("check")], F.lit("discoverability")))
@@ -193,6 +236,50 @@ def findings(evidence: DataFrame) -> DataFrame:
     return rows.withColumn("priority", band).withColumn("priority_score", score).withColumn("dimension", dimension).withColumn("ordinal", ordinal)
 
 
+#: Outcomes of a homepage that answer for the site, whether or not the page could be read.
+ANSWERED = ["ok", "external_redirect", "private_redirect", "robots_blocked"]
+ASTRAY = ["redirect_loop", "redirect_limit", "bad_location"]
+
+
+def _raised(rows: DataFrame, check: Column, reach: Column, important: Column, forced: Column, affected: Column | None = None, sample: Column | None = None) -> DataFrame:
+    one = F.lit(1).cast("long")
+    named = rows.withColumn("check", check).filter("check is not null")
+    return named.select("site", "check", F.array().cast("array<string>").alias("urls"), (one if affected is None else affected).alias("affected"), (one if sample is None else sample).alias("sample"), reach.alias("reach"), important.alias("hits_important"), forced.cast("string").alias("forced"))
+
+
+def home_findings(sites: DataFrame) -> DataFrame:
+    """Sites (site, blocks_site, home_outcome) that cannot be entered as they should: the first reason counts. A null outcome is no answer."""
+    c = F.col
+    outcome = F.coalesce(c("home_outcome"), F.lit("unknown"))
+    cases = [
+        (F.coalesce(c("blocks_site"), F.lit(False)), "robots_blocks_site"),
+        (outcome == "external_redirect", "homepage_redirects_offsite"),
+        (outcome.isin(ASTRAY), "redirect_configuration_error"),
+        (outcome == "private_redirect", "redirect_to_private_address"),
+        (outcome == "robots_blocked", "important_page_robots_blocked"),
+        (~outcome.isin(ANSWERED), "site_unreachable"),
+    ]
+    forced = F.when(c("check") == "homepage_redirects_offsite", "low")
+    return judged(_raised(sites, classify._first_of(cases, None), F.lit(1.0), F.lit(True), forced))
+
+
+def agent_findings(rules: DataFrame) -> DataFrame:
+    """Sites that shut out a known AI agent wholly, from the rows of ``robots.ai_agents``."""
+    return judged(_raised(rules.filter("blocked").select("site").distinct(), F.lit("ai_crawler_blocked"), F.lit(1.0), F.lit(True), F.lit(None)))
+
+
+def navigation_findings(strengths: DataFrame) -> DataFrame:
+    """Sites of four pages or more whose navigation is weak, or strong but not marked as such, from the rows of ``navigation``."""
+    c = F.col
+    sites = strengths.filter("pages >= 4").withColumn("unmarked", c("pages") - F.bround(c("landmark_share") * c("pages")).cast("long"))
+    bare = sites.filter(c("strength").isin("strong", "probable") & (c("landmark_share") < 0.5))
+    poor = sites.filter(c("strength").isin("weak", "absent"))
+    absent = c("strength") == "absent"
+    marked = _raised(bare, F.lit("missing_nav_landmark"), 1 - c("landmark_share"), F.lit(False), F.lit("low"), F.greatest(c("unmarked"), F.lit(1)), c("pages"))
+    weak = _raised(poor, F.lit("weak_navigation"), F.when(absent, 1.0).otherwise(0.5), absent, F.when(~absent, "medium"), c("pages"), c("pages"))
+    return judged(marked.unionByName(weak))
+
+
 def merged(found: DataFrame) -> DataFrame:
     """Deep and orphaned pages of one first address are one finding: the earlier check's, with the greater severity, reach and confidence."""
     c = F.col

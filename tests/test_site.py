@@ -115,3 +115,36 @@ def test_arriving_pages_are_parsed_once(spark, tmp_path):
         spark.createDataFrame(rows, pages.PAGES).write.mode("append").parquet(source)
         pages.parse_arriving(spark, source, sink, mark).awaitTermination(120)
         assert sorted(r.page_id for r in spark.read.parquet(sink).select("page_id").collect()) == [[1], [1, 2, 3]][run]
+
+
+def test_home_and_agent_findings(spark):
+    outcomes = ["ok", "external_redirect", "redirect_loop", "private_redirect", "robots_blocked", "timeout", None]
+    sites = spark.createDataFrame([(f"s{i}", False, o) for i, o in enumerate(outcomes)] + [("x", True, "ok")], "site string, blocks_site boolean, home_outcome string")
+    found = {r.site: (r.check, r.severity) for r in site.home_findings(sites).collect()}
+    assert found == {
+        "s1": ("homepage_redirects_offsite", "low"), "s2": ("redirect_configuration_error", "high"), "s3": ("redirect_to_private_address", "high"),
+        "s4": ("important_page_robots_blocked", "high"), "s5": ("site_unreachable", "critical"), "s6": ("site_unreachable", "critical"), "x": ("robots_blocks_site", "critical"),
+    }
+    rules = spark.createDataFrame([("s", "gptbot", True), ("s", "ccbot", True), ("t", "ccbot", False)], "site string, agent string, blocked boolean")
+    assert [(r.site, r.check, r.severity) for r in site.agent_findings(rules).collect()] == [("s", "ai_crawler_blocked", "high")]
+
+
+def test_navigation_findings(spark):
+    rows = [("a", 10, 0.2, "strong"), ("b", 10, 0.9, "strong"), ("c", 10, 0.0, "weak"), ("d", 10, 0.0, "absent"), ("e", 3, 0.0, "absent")]
+    found = {r.site: (r.check, r.severity, r.reach, r.affected) for r in site.navigation_findings(spark.createDataFrame(rows, "site string, pages long, landmark_share double, strength string")).collect()}
+    assert found == {"a": ("missing_nav_landmark", "low", 0.8, 8), "c": ("weak_navigation", "medium", 0.5, 10), "d": ("weak_navigation", "high", 1.0, 10)}
+
+
+def test_checks_over_wider_evidence(spark):
+    base = site_catalog.evidence(spark, SF).withColumn("canonical_status", F.lit(200))
+    first = F.col("page_id") < 8
+    plain = {r.check for r in site.findings(base).collect()}
+    wide = base.withColumns({
+        "robots_allowed": ~first, "redirects": F.when(first, 2), "robots_header": F.when(first, "NoIndex"), "rendered": first, "script_dependent": first,
+        "canonical": F.when(first, "https://elsewhere.example/"), "jsonld_errors": F.when(first, F.array(F.lit("x"))), "defects": F.when(first, F.array(F.lit("x"))), "ctas": F.when(~first, F.array(F.lit("x"))),
+    })
+    found = site.findings(wide).filter("site = 'site0.example'").collect()
+    added = {r.check: (r.affected, r.urls) for r in found if r.check not in plain}
+    home = ["https://site0.example/"]
+    assert set(added) >= set(site._wider_checks()) - {"no_next_step"}
+    assert all(v == (1, home) for v in added.values())
