@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import classify, facts, text
 from pagelens.functions import vocab as V
-from pagelens.operators import parse
+from pagelens.operators import names, parse, robots
 from pagelens.operators import site as S
 from pagelens.plans.catalog import _TITLE
 from pagelens.session import table
@@ -159,7 +159,37 @@ def parsed_pages(spark, d):
     return rows.select("page_id", "title", "lang", "words", "headings_total", "images", "forms", "has_nav", "has_main", F.size("h1").cast("long").alias("h1_total"))
 
 
-QUERIES = {f.__name__: f for f in (parsed_pages, page_text_words, link_indegree, page_role, resource_kind, role_histogram, sitemap_coverage, repeated_links, navigation_strength, site_findings, findings_ranked, dimension_scores, canonical_to_broken, org_names, name_prefixes, title_brands, social_links, severity_matrix, script_dependence, language_mode)}
+def freshness_risk(spark, d):
+    """Sources with stale documents, a document being of the year 2015 + id % 12, seen from 2026."""
+    rows = table(spark, d, "documents").select(F.col("source").alias("site"), (F.lit(2015) + F.col("doc_id") % 12).cast("string").alias("year"))
+    return names.freshness(rows, 2026)
+
+
+def contact_conflicts(spark, d):
+    """Customers whose stated telephone (one of three) is not the shown one (one of two)."""
+    key = F.col("c_custkey")
+    facts_ = lambda n, source: table(spark, d, "customer").select(key.alias("site"), F.lit("phone").alias("kind"), F.concat(F.lit("555000000"), key % n).alias("value"), F.lit(source).alias("source"))
+    return names.contact_conflicts(facts_(3, "jsonld").unionByName(facts_(2, "text"))).select("site", "kind", F.array_join("stated", " ").alias("stated"), F.array_join("shown", " ").alias("shown"))
+
+
+#: Files of three kinds of sites, dealt to customers by their keys.
+ROBOTS = ["User-agent: *\nDisallow: /private # not public\nDisallow: /tmp", "User-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n\nUser-agent: ccbot\nAllow: /", "Disallow: /\nUser-agent: Claude-User\nDisallow: /docs"]
+
+
+def _robots(spark, d):
+    key = F.col("c_custkey")
+    return table(spark, d, "customer").select(key.alias("site"), F.element_at(classify._list(ROBOTS), (key % 3 + 1).cast("int")).alias("robots"))
+
+
+def robots_blocks(spark, d):
+    return robots.site_block(_robots(spark, d)).select("site", "blocks_site", F.array_join("paths", " ").alias("paths"))
+
+
+def ai_agent_rules(spark, d):
+    return robots.ai_agents(_robots(spark, d)).select("site", "agent", "blocked", F.array_join("paths", " ").alias("paths"))
+
+
+QUERIES = {f.__name__: f for f in (freshness_risk, contact_conflicts, robots_blocks, ai_agent_rules, parsed_pages, page_text_words, link_indegree, page_role, resource_kind, role_histogram, sitemap_coverage, repeated_links, navigation_strength, site_findings, findings_ranked, dimension_scores, canonical_to_broken, org_names, name_prefixes, title_brands, social_links, severity_matrix, script_dependence, language_mode)}
 
 # --- the SQL --------------------------------------------------------------------------------------------------------------
 
@@ -258,6 +288,11 @@ _FINAL = _priced("named").replace("priced AS", "final AS", 1)
 
 _ORG = lambda x: rf"lower(trim(regexp_replace(regexp_replace({x}, '[^A-Za-z0-9& .]', ' ', 'g'), '\s+', ' ', 'g')))"
 ORACLES = {
+    "freshness_risk": """WITH y AS (SELECT source AS site, 2015 + doc_id % 12 AS year FROM documents), s AS (SELECT site, count(*) AS dated, count(*) FILTER (year <= 2025) AS stale, max(year)::INTEGER AS newest FROM y GROUP BY site)
+ SELECT *, dated >= 3 AND stale >= greatest(2, 0.5 * dated) AS at_risk FROM s""",
+    "contact_conflicts": "SELECT c_custkey AS site, 'phone' AS kind, '555000000' || (c_custkey % 3) AS stated, '555000000' || (c_custkey % 2) AS shown FROM customer WHERE c_custkey % 3 <> c_custkey % 2",
+    "robots_blocks": "SELECT c_custkey AS site, c_custkey % 3 = 2 AS blocks_site, CASE c_custkey % 3 WHEN 0 THEN '/private /tmp' ELSE '' END AS paths FROM customer",
+    "ai_agent_rules": """SELECT c_custkey AS site, agent, blocked, paths FROM customer JOIN (VALUES (1, 'gptbot', true, '/'), (1, 'ccbot', false, '/'), (2, 'claude-user', false, '/docs')) AS v(k, agent, blocked, paths) ON c_custkey % 3 = k""",
     "parsed_pages": rf"""SELECT page_id, {_TITLE} AS title, trim(regexp_extract(html, '(?i)<html[^>]*\slang=["'']([^"'']*)["'']', 1)) AS lang, {_WORDS} AS words, {_N(r'(?i)<h[1-6][\s>]')} AS headings_total, {_N(r'(?i)<img[\s>]')} AS images,
  {_N(r'(?i)<form[\s>]')} AS forms, regexp_matches(html, '(?i)<nav[\s>]|role=["'']navigation["'']') AS has_nav, regexp_matches(html, '(?i)<main[\s>]|role=["'']main["'']') AS has_main, {_N(r'(?i)<h1[\s>]')} AS h1_total FROM pages""",
     "page_text_words": f"SELECT page_id, {_WORDS} AS words FROM pages",
