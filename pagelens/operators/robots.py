@@ -17,6 +17,8 @@ from pagelens.functions import vocab as V
 from pagelens.session import prepare
 
 LISTED = 50
+#: Parsed files that a worker keeps at a time.
+PARSERS = 64
 
 
 def lines(files: DataFrame, key: str = "site", text: str = "robots") -> DataFrame:
@@ -72,7 +74,8 @@ def may_fetch(pages: DataFrame, files: DataFrame, agent: str, key: str = "site",
         known, out = {}, []
         for address, file in zip(addresses, robots, strict=True):
             if file not in known:
-                known.clear()  # pages of one site come together; one parser at a time bounds the memory
+                if len(known) >= PARSERS:
+                    known.pop(next(iter(known)))
                 known[file] = RobotFileParser()
                 known[file].parse((file or "").splitlines())
             out.append(not file or known[file].can_fetch(agent, address or "") or known[file].can_fetch("*", address or ""))

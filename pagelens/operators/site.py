@@ -61,10 +61,11 @@ def out_counts(edges: DataFrame) -> DataFrame:
 
 
 def page_evidence(pages: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every page with its links, role, kind and importance. What is no page has the role ``non_page`` and no importance."""
-    siblings = F.count("*").over(Window.partitionBy("site", "shape")) - 1
-    rows = page_columns(pages).join(link_counts(edges), "page_id", "left").join(out_counts(edges), "page_id", "left")
-    rows = rows.fillna({"incoming": 0, "out_links": 0, "in_nav": False}).withColumn("siblings", siblings)
+    """Every page with its links, role, kind and importance. What is no page has the role ``non_page`` and no importance. A null address or site has no siblings."""
+    # Counted before they meet the pages, and joined: run-time skew splitting divides the pages of a hot shape, which a window would hold in one task.
+    shapes = pages.select("site", urls.path_shape(F.col("url")).alias("shape")).groupBy("site", "shape").agg((F.count("*") - 1).alias("siblings"))
+    rows = page_columns(pages).join(shapes, ["site", "shape"], "left").join(link_counts(edges), "page_id", "left").join(out_counts(edges), "page_id", "left")
+    rows = rows.fillna({"incoming": 0, "out_links": 0, "in_nav": False, "siblings": 0})
     kind, sure = classify.resource_kind(F.col("url"), F.lit("text/html"), F.col("status"), F.col("has_html"), F.col("has_head"), F.col("title") != "", F.col("words"), F.col("out_links"), F.col("siblings"))
     rows = rows.withColumn("kind", kind).withColumn("kind_confidence", sure).withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(False)))
     # An address that answers with an error keeps its role: it is missing as a page.
