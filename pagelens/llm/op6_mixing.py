@@ -1,15 +1,17 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is its lower-cased words and an end mark; each token is spelt in bytes with a terminator, each byte in eight bits.
-Four bit predictors keep counts in hashed tables: the last byte, the last three and five bytes, and the whole spelling so far. A logistic mixer combines their stretched probabilities; its weight set is gated by how much the two longest contexts
+Four bit predictors count zeros and ones by context: the last byte, the last three and five bytes, and the whole spelling so far. A logistic mixer combines their stretched probabilities; its weight set is gated by how much the two longest contexts
 have seen and by the place in the token. An adaptive probability map refines the mix by the last byte. The sum of the bits'
 logarithms is the text's probability.
 
 Spark's part: texts become chunks of local token numbers and a vocabulary with training counts (one pass over the texts, one
-written table); counts of all training tokens meet by word; the predictors learn from every distinct training word weighted by
-its count; mixer and map learn online, in mini-batches over all training words (each bit's own occurrence left out of the
+written table); counts of all training tokens meet by word; words form packs. A pack's entries (context, next byte) go to
+shards by their 64-bit keys (56 bits of the context, 8 of the byte), whose number grows with the words; a shard adds up what
+every distinct training word has, weighted by its count, and tells each pack the sums of its own entries and of their bit
+nodes. So nothing is dropped, no two contexts share a slot and no table is held whole; mixer and map learn online, in mini-batches over all training words (each bit's own occurrence left out of the
 counts it is predicted from), and the learners' weights are averaged; every distinct word is scored once, and scores return to
-the chunks. The tables have a fixed size (``TABLE_BITS``), so the model is broadcast; the vocabulary never is.
+the chunks. Only the mixer's weights and the map, of fixed size, are broadcast.
 
 Cases: a null or empty text is the end mark alone; a text of any length is scored whole; words of any length are spelt whole;
 equal texts score alike; a null id is in the training fold; without training texts counts are zero and the predictors know
@@ -26,22 +28,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm import words as W
-from pagelens.session import prepare, release, stored, table
+from pagelens.session import discard, prepare, release, stored, table
 
-#: Slots of the predictors' tables, as powers of two.
+#: Of each predictor, the slots (as powers of two) of ``Spelling.bits``, a small stand-in of the counts to try the mixer on. The model has no table of fixed size.
 TABLE_BITS = (16, 20, 20, 20)
-#: From this table on the contexts are long.
+#: From this predictor on the contexts are long.
 LONG = 2
-#: The two longest contexts learn from words that are found so often: spellings seen once would crowd their tables.
-CONFIRMED = 2
-#: Tasks that learn side by side; bounds the copies of the tables, not the words.
+#: Tasks that learn side by side; their weights are averaged.
 LEARNERS = 12
 CHUNK_WORDS, CHUNK_TOKENS = 260_000, 2_000_000
 BATCH_BYTES = 100_000
+#: Bytes of words in a pack, and entries that a shard should hold, about.
+PACK_BYTES, SHARD_ENTRIES = 600_000, 2_000_000
 END = b"\n"
 GATES = 2 * 4 * 4
 RATE, LEAST = 0.05, 1e-6
-_SEGMENT = 1 << 16
 _LOWER = bytes(W.LOWER.tolist())
 
 
@@ -95,7 +96,7 @@ def chunks(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 class Spelling:
-    """The bits of many words: for each byte its contexts, and for each bit the tables' slots."""
+    """The bytes of many words with the 64-bit number of each byte's context in every predictor."""
 
     def __init__(self, found: list[bytes]):
         size = np.fromiter(map(len, found), np.int64, len(found)) + 1
@@ -106,32 +107,34 @@ class Spelling:
         place = np.arange(len(data)) - self.first[self.word]
         last = []
         for k in range(1, 6):
-            b = np.zeros(len(data), np.uint32)
-            b[k:] = self.byte[:-k]
+            b = np.zeros(len(data), np.uint64)
+            b[k:] = data[:-k]
             b[place < k] = 0
             last.append(b)
-        self.last, self.start = last[0], place == 0
+        self.last, self.start = last[0].astype(np.uint32), place == 0
         with np.errstate(over="ignore"):
-            two = last[0] | (last[1] << np.uint32(8))
-            three = (two | (last[2] << np.uint32(16))) * np.uint32(0x9E3779B1)
-            five = (three ^ (last[3] | last[4] << np.uint32(8))) * np.uint32(0x85EBCA6B) + np.uint32(5)
+            two = last[0] | (last[1] << W.U(8))
+            three = two | (last[2] << W.U(16))
+            five = three | (last[3] << W.U(24)) | (last[4] << W.U(32))
             up, down = W._power_table(len(data) + 1)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W._BYTE[data] * up[: len(data)])])
             begin = self.first[self.word]
             whole = W.mix((total[np.arange(len(data))] - total[begin]) * down[begin] + place.astype(np.uint64))
-            self.contexts = [last[0], three, five, (whole >> W.U(32)).astype(np.uint32)]
+            self.contexts = [W.mix(c + (W.U(k + 1) << W.U(60))) for k, c in enumerate([last[0], three, five, whole])]
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct entries, index of each byte's entry in every predictor): 56 bits of the context, then the byte."""
+        keys = np.concatenate([(c & ~W.U(255)) | self.byte for c in self.contexts])
+        entry, at = np.unique(keys, return_inverse=True)
+        return entry, at.reshape(len(self.contexts), -1)
 
     def bits(self):
         """(bit, slots of each table) for the eight bits of all bytes."""
         for j in range(8):
             node = (np.uint32(1) << np.uint32(j)) | (self.byte >> np.uint32(8 - j))
             bit = (self.byte >> np.uint32(7 - j)) & np.uint32(1)
-            slots = [(self.contexts[0] << np.uint32(8)) | node]
             with np.errstate(over="ignore"):
-                for c, size in zip(self.contexts[1:], TABLE_BITS[1:], strict=True):
-                    x = (c + node * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
-                    slots.append(((x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> np.uint32(32 - size))
-            yield bit, slots
+                yield bit, [(W.mix(c + node) >> W.U(64 - size)).astype(np.int64) for c, size in zip(self.contexts, TABLE_BITS, strict=True)]
 
 
 def spelt(rows, most: int = BATCH_BYTES):
@@ -148,37 +151,97 @@ def spelt(rows, most: int = BATCH_BYTES):
         yield found, np.array(counts, np.float64)
 
 
-def learn_counts(words: DataFrame) -> list[np.ndarray]:
-    """Weighted counts of zeros and ones in every slot, a (2, slots) array for each table."""
+def packs_of(words: DataFrame) -> DataFrame:
+    """(pack, words, counts) from (word, c): about ``PACK_BYTES`` of words, each followed by a blank, and their training counts."""
 
     def run(batches):
-        tables = [np.zeros(2 << b, np.float32) for b in TABLE_BITS]
-        for found, counts in spelt(batches):
-            s = Spelling(found)
-            weight = counts[s.word]
-            sure = np.flatnonzero(weight >= CONFIRMED)
-            for bit, slots in s.bits():
-                for k, (t, slot) in enumerate(zip(tables, slots, strict=True)):
-                    at = slot + (bit << np.uint32(TABLE_BITS[k]))
-                    if k < LONG:
-                        np.add.at(t, at, weight.astype(np.float32))
-                    else:
-                        np.add.at(t, at[sure], weight[sure].astype(np.float32))
-        for k, t in enumerate(tables):
-            for i in range(0, len(t), _SEGMENT):
-                part = t[i : i + _SEGMENT]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["k", "i", "part"])
+        from pyspark import TaskContext
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(p), np.float32).astype(np.float64) for p in rows.column("part").to_pylist())
-        return pa.table([rows.column("k").slice(0, 1), rows.column("i").slice(0, 1), pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())], ["k", "i", "part"])
+        task = TaskContext.get().partitionId() << 32
+        for made, (found, counts) in enumerate(spelt(batches, PACK_BYTES)):
+            yield pa.RecordBatch.from_arrays([pa.array([task + made]), pa.array([b" ".join([*found, b""])], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["pack", "words", "counts"])
+
+    return words.mapInArrow(run, "pack long, words binary, counts binary")
+
+
+def _pack(found: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
+    return found.split(b" ")[:-1], np.frombuffer(counts)
 
-    parts = words.coalesce(LEARNERS).mapInArrow(run, "k int, i int, part binary").groupBy("k", "i").applyInArrow(add, "k int, i int, part binary")
-    tables = [np.zeros(2 << b, np.float32) for b in TABLE_BITS]
-    for r in parts.collect():  # at most the tables' fixed size
-        tables[r.k][r.i : r.i + _SEGMENT] = np.frombuffer(zlib.decompress(bytes(r.part)), np.float32)
-    return [t.reshape(2, -1) for t in tables]
+
+def count_entries(packs: DataFrame, n_bytes: int) -> DataFrame:
+    """(pack, shard, part): for a pack's entries of a shard, in order, nine rows of int64. Row j is the training count of the
+    context with any next byte that has the first j bits of the entry's."""
+    shards = max(1, -(-n_bytes * len(TABLE_BITS) // SHARD_ENTRIES))
+
+    def ask(batches):
+        for batch in batches:
+            for pack, blob, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found, counts = _pack(blob, weights)
+                s = Spelling(found)
+                entry, at = s.entries()
+                total = np.bincount(at.ravel(), np.tile(counts[s.word], len(at)), len(entry)).astype(np.int64)
+                shard = ((entry >> W.U(32)) * W.U(shards)) >> W.U(32)
+                some, first = np.unique(shard, return_index=True)
+                ends = [*first[1:], len(entry)]
+                keys = [entry[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+                sums = [total[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pack] * len(some), pa.int64()), pa.array(keys, pa.binary()), pa.array(sums, pa.binary())], ["shard", "pack", "entries", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, np.uint64) for x in rows.column("entries").to_pylist()]
+        entry, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist()])).astype(np.int64)
+        levels = np.empty((9, len(entry)), np.int64)
+        for j in range(9):
+            node = entry >> W.U(8 - j)
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            levels[j] = np.repeat(np.add.reduceat(total, first), np.diff(np.r_[first, len(entry)]))
+        ends = np.cumsum([len(x) for x in keys])
+        parts = [zlib.compress(levels[:, at[b - len(x) : b]].tobytes(), 1) for x, b in zip(keys, ends, strict=True)]
+        return pa.table([rows.column("pack"), rows.column("shard"), pa.array(parts, pa.binary())], ["pack", "shard", "part"])
+
+    asked = packs.mapInArrow(ask, "shard int, pack long, entries binary, counts binary")
+    return asked.groupBy("shard").applyInArrow(add, "pack long, shard int, part binary")
+
+
+def told(packs: DataFrame, counted: DataFrame, tasks: int) -> DataFrame:
+    """(pack, shard, data, counts) in order: each pack's words, then the parts of its entries' counts."""
+    rows = packs.select("pack", F.lit(-1).alias("shard"), F.col("words").alias("data"), "counts")
+    rows = rows.unionByName(counted.select("pack", "shard", F.col("part").alias("data"), F.lit(None).cast("binary").alias("counts")))
+    task = F.pmod(F.shiftright("pack", 32) * 5 + F.col("pack").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(tasks)).cast("int")
+    return rows.repartitionById(tasks, task).sortWithinPartitions("pack", "shard")
+
+
+def counted_packs(batches):
+    """(words, counts, spelling, entry index, levels) of each pack from the rows of ``told``."""
+
+    def close(head, parts):
+        found, counts = _pack(*head)
+        s = Spelling(found)
+        levels = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64).reshape(9, -1) for x in parts], axis=1)
+        return found, counts, s, s.entries()[1], levels
+
+    head, parts = None, []
+    for batch in batches:
+        for shard, data, counts in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+            if shard < 0:
+                if head:
+                    yield close(head, parts)
+                head, parts = (data, counts), []
+            else:
+                parts.append(data)
+    if head:
+        yield close(head, parts)
+
+
+def slices(s: Spelling):
+    """Ranges of bytes of about ``BATCH_BYTES`` that end with a word."""
+    ends = np.r_[s.first[1:], len(s.byte)]
+    at = 0
+    while at < len(s.byte):
+        end = int(ends[min(np.searchsorted(ends, at + BATCH_BYTES), len(ends) - 1)])
+        yield slice(at, end)
+        at = end
 
 
 def _seen(n: np.ndarray) -> np.ndarray:
@@ -205,67 +268,71 @@ def _initial() -> tuple[np.ndarray, np.ndarray]:
     return np.full((GATES, len(TABLE_BITS) + 1), 0.3), np.tile(np.stack([1 - centre, centre]), (1, 256)) * 4
 
 
-def learn_mixer(words: DataFrame, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, map counts): online over all training words in each learner, averaged over the learners."""
-    shared = words.sparkSession.sparkContext.broadcast(tables)
+def learn_mixer(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, map counts) from the rows of ``told``: online over all training words in each learner, averaged over the learners."""
 
     def run(batches):
-        known, (weights, refine) = shared.value, _initial()
+        weights, refine = _initial()
         squares, mass, start_refine = np.full_like(weights, 1e-2), 0.0, refine.copy()
-        for found, counts in spelt(batches):
-            s = Spelling(found)
-            weight = counts[s.word]
-            for bit, slots in s.bits():
-                inputs, seen = np.full((len(slots) + 1, len(bit)), 0.3, np.float32), []
-                one = bit.astype(np.float32)
-                for k, slot in enumerate(slots):
-                    own = (weight >= CONFIRMED).astype(np.float32) if k >= LONG else np.float32(1)
-                    n0 = np.maximum(known[k][0][slot] - own * (1 - one), 0)
-                    n1 = np.maximum(known[k][1][slot] - own * one, 0)
-                    inputs[k] = _stretch(n0, n1)
-                    if k >= LONG:
-                        seen.append(_seen(n0 + n1))
-                gate, p = _mixed(inputs, seen, s.start, weights)
-                error = (bit - p) * weight
-                step = np.stack([np.bincount(gate, error * x, GATES) for x in inputs], axis=1)
-                scale = np.bincount(gate, weight, GATES)[:, None] + 1
-                squares += (step / scale) ** 2
-                weights += RATE * (step / scale) / np.sqrt(squares)
-                refine += np.bincount(_map_place(s.last, p) + bit * np.int64(refine.shape[1]), weight, refine.size).reshape(refine.shape)
-            mass += weight.sum()
+        for _, counts, s, entry, levels in counted_packs(batches):
+            every = counts[s.word]
+            for part in slices(s):
+                at = part.start + np.flatnonzero(every[part] > 0)
+                if not len(at):
+                    continue
+                weight, last, mine = every[at], s.last[at], [levels[:, e] for e in entry[:, at]]
+                for j in range(8):
+                    bit = (s.byte[at] >> np.uint32(7 - j)) & np.uint32(1)
+                    inputs, seen = np.full((len(mine) + 1, len(bit)), 0.3, np.float32), []
+                    for k, x in enumerate(mine):
+                        same = (x[j + 1] - 1).astype(np.float32)  # without the bit's own occurrence
+                        other = (x[j] - x[j + 1]).astype(np.float32)
+                        inputs[k] = np.where(bit == 1, _stretch(other, same), _stretch(same, other))
+                        if k >= LONG:
+                            seen.append(_seen(same + other))
+                    gate, p = _mixed(inputs, seen, s.start[at], weights)
+                    error = (bit - p) * weight
+                    step = np.stack([np.bincount(gate, error * x, GATES) for x in inputs], axis=1)
+                    scale = np.bincount(gate, weight, GATES)[:, None] + 1
+                    squares += (step / scale) ** 2
+                    weights += RATE * (step / scale) / np.sqrt(squares)
+                    refine += np.bincount(_map_place(last, p) + bit * np.int64(refine.shape[1]), weight, refine.size).reshape(refine.shape)
+                mass += weight.sum()
         if mass:
             yield pa.RecordBatch.from_arrays([pa.array([mass]), pa.array([(weights * mass).tobytes()], pa.binary()), pa.array([(refine - start_refine).tobytes()], pa.binary())], ["mass", "weights", "refine"])
 
     weights, refine = _initial()
-    rows = words.coalesce(LEARNERS).mapInArrow(run, "mass double, weights binary, refine binary").collect()  # a row for each learner
-    if rows:
-        weights = sum(np.frombuffer(r.weights).reshape(weights.shape) for r in rows) / sum(r.mass for r in rows)
-        refine = refine + sum(np.frombuffer(r.refine).reshape(refine.shape) for r in rows)
+    learned = rows.mapInArrow(run, "mass double, weights binary, refine binary").collect()  # a row for each learner
+    if learned:
+        weights = sum(np.frombuffer(r.weights).reshape(weights.shape) for r in learned) / sum(r.mass for r in learned)
+        refine = refine + sum(np.frombuffer(r.refine).reshape(refine.shape) for r in learned)
     return weights, refine
 
 
-def score_words(words: DataFrame, tables: list[np.ndarray], weights: np.ndarray, refine: np.ndarray) -> DataFrame:
-    """(word, c, score): the model's log10 probability of every word's spelling."""
-    shared = words.sparkSession.sparkContext.broadcast((tables, weights, refine))
+def score_words(rows: DataFrame, weights: np.ndarray, refine: np.ndarray) -> DataFrame:
+    """(word, c, score) from the rows of ``told``: the model's log10 probability of every word's spelling."""
+    shared = rows.sparkSession.sparkContext.broadcast((weights, refine))
 
     def run(batches):
-        known, w, r = shared.value
+        w, r = shared.value
         refined = r[1] / (r[0] + r[1])
-        stretched = [_stretch(*t) for t in known]
-        seen = [_seen(t[0] + t[1]).astype(np.int8) for t in known[LONG:]]
-        for found, counts in spelt(batches):
-            s = Spelling(found)
+        for found, counts, s, entry, levels in counted_packs(batches):
             total = np.zeros(len(s.byte))
-            for bit, slots in s.bits():
-                inputs = np.full((len(slots) + 1, len(bit)), 0.3, np.float32)
-                for k, slot in enumerate(slots):
-                    inputs[k] = stretched[k][slot]
-                _, p = _mixed(inputs, (seen[0][slots[LONG]], seen[1][slots[LONG + 1]]), s.start, w)
-                p = np.clip((p + refined[_map_place(s.last, p)]) / 2, LEAST, 1 - LEAST)
-                total += np.log10(np.where(bit == 1, p, 1 - p))
+            for j in range(8):
+                same, both = levels[j + 1].astype(np.float32), levels[j].astype(np.float32)
+                toward, seen = _stretch((levels[j] - levels[j + 1]).astype(np.float32), same), _seen(both).astype(np.int8)
+                for part in slices(s):
+                    bit = (s.byte[part] >> np.uint32(7 - j)) & np.uint32(1)
+                    sign = bit.astype(np.float32) * 2 - 1
+                    inputs = np.full((len(entry) + 1, len(bit)), 0.3, np.float32)
+                    for k, e in enumerate(entry):
+                        inputs[k] = toward[e[part]] * sign
+                    _, p = _mixed(inputs, tuple(seen[e[part]] for e in entry[LONG:]), s.start[part], w)
+                    p = np.clip((p + refined[_map_place(s.last[part], p)]) / 2, LEAST, 1 - LEAST)
+                    total[part] += np.log10(np.where(bit == 1, p, 1 - p))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(counts.astype(np.int64)), pa.array(np.add.reduceat(total, s.first))], ["word", "c", "score"])
 
-    return words.mapInArrow(run, "word binary, c long, score double")
+    return rows.mapInArrow(run, "word binary, c long, score double")
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------------
@@ -281,12 +348,15 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         return coded.select("chunk", pairs).select("chunk", "pos", F.col("pair.words").alias("word"), F.col("pair.counts").alias("n"))
 
     words = stored(vocabulary().groupBy("word").agg(F.sum("n").cast("long").alias("c")))
-    learned = words.filter("c > 0")
-    total, distinct = learned.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tables = learn_counts(learned)
+    n_bytes = words.agg(F.coalesce(F.sum(F.octet_length("word") + 1), F.lit(0))).first()[0]
+    total, distinct = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    packs = stored(packs_of(words))
+    discard(words)
+    counted = stored(count_entries(packs, n_bytes))
+    weights, refine = learn_mixer(told(packs, counted, LEARNERS))
     release(spark)
-    weights, refine = learn_mixer(learned, tables)
-    scored = stored(score_words(words, tables, weights, refine))
+    scored = stored(score_words(told(packs, counted, max(LEARNERS, -(-n_bytes // (4 * PACK_BYTES)))), weights, refine))
+    discard(packs, counted)
     release(spark)
     back = vocabulary().drop("n").join(scored, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c", "score")).alias("scores"))
     rows = coded.select("chunk", "ids", "held", "sizes", "tokens", F.transform("words", lambda w: F.octet_length(w)).alias("lengths")).join(back, "chunk")

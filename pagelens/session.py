@@ -50,6 +50,16 @@ def stored(df):
     return spark.read.parquet(path)
 
 
+def discard(*tables) -> None:
+    """Deletes the files of tables made by ``stored`` that no later plan reads."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("table-"):
+                path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df):
     """Reliable checkpoint of a DataFrame in the shared folder (never localCheckpoint)."""
     spark = df.sparkSession

@@ -315,3 +315,30 @@ def test_minhash_near_duplicates(spark, docs, empty):
     got = {tuple(r) for r in op5_minhash.near_duplicates(docs).collect()}
     assert len(got & want) >= 0.98 * len(want)
     assert op5_minhash.near_duplicates(empty).count() == 0
+
+
+def test_predictors_count_every_training_word(spark, monkeypatch):
+    r = random.Random(8)
+    found = {"".join(r.choice("abcé") for _ in range(r.randint(1, 9))).encode(): r.choice([0, 1, 1, 2, 5]) for _ in range(300)}
+    monkeypatch.setattr(op6_mixing, "PACK_BYTES", 300)
+    monkeypatch.setattr(op6_mixing, "SHARD_ENTRIES", 500)
+    table = spark.createDataFrame(list(found.items()), "word binary, c long").repartition(3).sortWithinPartitions("word")
+    packs = op6_mixing.packs_of(table).cache()
+    counted = op6_mixing.count_entries(packs, sum(map(len, found)) + len(found))
+    contexts = lambda w, i: [w[max(0, i - n) : i].rjust(n, b"\0") for n in (1, 3, 5)] + [w[:i]]
+    want = Counter()
+    for word, c in found.items():
+        for i, b in enumerate(word + b" "):
+            for k, x in enumerate(contexts(word, i)):
+                want.update({(k, x, j, b >> (8 - j)): c for j in range(9)})
+    rows = op6_mixing.told(packs, counted, 4).toArrow().to_batches()
+    met = []
+    for mine, counts, s, entry, levels in op6_mixing.counted_packs(rows):
+        met += list(zip(mine, counts.astype(int).tolist(), strict=True))
+        at = 0
+        for word in mine:
+            for i, b in enumerate(word + b" "):
+                for k, x in enumerate(contexts(word, i)):
+                    assert [want[k, x, j, b >> (8 - j)] for j in range(9)] == levels[:, entry[k, at]].tolist()
+                at += 1
+    assert dict(met) == found and len(met) == len(found) and packs.count() > 3 and counted.select("shard").distinct().count() > 3
