@@ -1,7 +1,8 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is its lower-cased words and an end mark; each token is spelt in bytes with a terminator, each byte in eight bits.
-Four bit predictors count zeros and ones by context: the last byte, the last three and five bytes, and the whole spelling so far. A logistic mixer combines their stretched probabilities; its weight set is gated by how much the two longest contexts
+Five bit predictors count zeros and ones by context: the last byte, the last two, three and five bytes, and the whole spelling
+so far. A logistic mixer combines their stretched probabilities; its weight set is gated by how much the two longest contexts
 have seen and by the place in the token. An adaptive probability map refines the mix by the last byte. The sum of the bits'
 logarithms is the text's probability.
 
@@ -20,6 +21,7 @@ nothing; an empty table gives an empty one; the result carries the id and the op
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 import numpy as np
@@ -31,9 +33,9 @@ from pagelens.llm import words as W
 from pagelens.session import discard, prepare, release, stored, table
 
 #: Of each predictor, the slots (as powers of two) of ``Spelling.bits``, a small stand-in of the counts to try the mixer on. The model has no table of fixed size.
-TABLE_BITS = (16, 20, 20, 20)
+TABLE_BITS = (16, 18, 20, 20, 20)
 #: From this predictor on the contexts are long.
-LONG = 2
+LONG = 3
 #: Tasks that learn side by side; their weights are averaged.
 LEARNERS = 12
 CHUNK_WORDS, CHUNK_TOKENS = 260_000, 2_000_000
@@ -120,7 +122,7 @@ class Spelling:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W._BYTE[data] * up[: len(data)])])
             begin = self.first[self.word]
             whole = W.mix((total[np.arange(len(data))] - total[begin]) * down[begin] + place.astype(np.uint64))
-            self.contexts = [W.mix(c + (W.U(k + 1) << W.U(60))) for k, c in enumerate([last[0], three, five, whole])]
+            self.contexts = [W.mix(c + (W.U(k + 1) << W.U(60))) for k, c in enumerate([last[0], two, three, five, whole])]
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
         """(sorted distinct entries, index of each byte's entry in every predictor): 56 bits of the context, then the byte."""
@@ -151,6 +153,13 @@ def spelt(rows, most: int = BATCH_BYTES):
         yield found, np.array(counts, np.float64)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: the worker lives on into the next stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def packs_of(words: DataFrame) -> DataFrame:
     """(pack, words, counts) from (word, c): about ``PACK_BYTES`` of words, each followed by a blank, and their training counts."""
 
@@ -169,8 +178,8 @@ def _pack(found: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
 
 
 def count_entries(packs: DataFrame, n_bytes: int) -> DataFrame:
-    """(pack, shard, part): for a pack's entries of a shard, in order, nine rows of int64. Row j is the training count of the
-    context with any next byte that has the first j bits of the entry's."""
+    """(pack, shard, part): for a pack's entries of a shard, in order, nine rows of int64. Level j is the training count of the
+    context with any next byte that has the first j bits of the entry's; row j is level j less level j + 1, the last is level 8."""
     shards = max(1, -(-n_bytes * len(TABLE_BITS) // SHARD_ENTRIES))
 
     def ask(batches):
@@ -186,6 +195,7 @@ def count_entries(packs: DataFrame, n_bytes: int) -> DataFrame:
                 keys = [entry[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
                 sums = [total[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pack] * len(some), pa.int64()), pa.array(keys, pa.binary()), pa.array(sums, pa.binary())], ["shard", "pack", "entries", "counts"])
+        give_back()
 
     def add(rows: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, np.uint64) for x in rows.column("entries").to_pylist()]
@@ -196,6 +206,7 @@ def count_entries(packs: DataFrame, n_bytes: int) -> DataFrame:
             node = entry >> W.U(8 - j)
             first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             levels[j] = np.repeat(np.add.reduceat(total, first), np.diff(np.r_[first, len(entry)]))
+        levels[:8] -= levels[1:]
         ends = np.cumsum([len(x) for x in keys])
         parts = [zlib.compress(levels[:, at[b - len(x) : b]].tobytes(), 1) for x, b in zip(keys, ends, strict=True)]
         return pa.table([rows.column("pack"), rows.column("shard"), pa.array(parts, pa.binary())], ["pack", "shard", "part"])
@@ -219,6 +230,8 @@ def counted_packs(batches):
         found, counts = _pack(*head)
         s = Spelling(found)
         levels = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64).reshape(9, -1) for x in parts], axis=1)
+        for j in range(7, -1, -1):
+            levels[j] += levels[j + 1]
         return found, counts, s, s.entries()[1], levels
 
     head, parts = None, []
@@ -232,6 +245,7 @@ def counted_packs(batches):
                 parts.append(data)
     if head:
         yield close(head, parts)
+    give_back()
 
 
 def slices(s: Spelling):

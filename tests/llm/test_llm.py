@@ -325,7 +325,7 @@ def test_predictors_count_every_training_word(spark, monkeypatch):
     table = spark.createDataFrame(list(found.items()), "word binary, c long").repartition(3).sortWithinPartitions("word")
     packs = op6_mixing.packs_of(table).cache()
     counted = op6_mixing.count_entries(packs, sum(map(len, found)) + len(found))
-    contexts = lambda w, i: [w[max(0, i - n) : i].rjust(n, b"\0") for n in (1, 3, 5)] + [w[:i]]
+    contexts = lambda w, i: [w[max(0, i - n) : i].rjust(n, b"\0") for n in (1, 2, 3, 5)] + [w[:i]]
     want = Counter()
     for word, c in found.items():
         for i, b in enumerate(word + b" "):
@@ -342,3 +342,11 @@ def test_predictors_count_every_training_word(spark, monkeypatch):
                     assert [want[k, x, j, b >> (8 - j)] for j in range(9)] == levels[:, entry[k, at]].tolist()
                 at += 1
     assert dict(met) == found and len(met) == len(found) and packs.count() > 3 and counted.select("shard").distinct().count() > 3
+
+
+def test_two_byte_predictor_is_mixed():
+    s = op6_mixing.Spelling([b"abxy", b"cbxy", b"abz"])
+    entry, at = s.entries()
+    assert len(entry) == at.max() + 1 and at.shape == (5, 14) and op6_mixing._initial()[0].shape[1] == 6
+    same = lambda k: [(i, j) for i in range(14) for j in range(i) if at[k, i] == at[k, j]]
+    assert (7, 2) in same(0) and (7, 2) not in same(1) and (8, 3) in same(1) and (8, 3) not in same(2)
