@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pagelens.llm import op1_langid, op2_lines, op3_bpe, op4_jaccard, op10_mix
 from pagelens.session import checkpoint_dir, table
 
+#: Near copies share so many words a shingle and so many percent of their shingles.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: A document whose languages are this mixed has no language to go by; ``und`` goes as well.
 LEAST_SCORE = 0.3
 
@@ -29,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each component; rows that repeat an id are one document and stay together."""
-    keep = op4_jaccard.jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
+    keep = op4_jaccard.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
 
 

@@ -350,3 +350,16 @@ def test_two_byte_predictor_is_mixed():
     assert len(entry) == at.max() + 1 and at.shape == (5, 14) and op6_mixing._initial()[0].shape[1] == 6
     same = lambda k: [(i, j) for i in range(14) for j in range(i) if at[k, i] == at[k, j]]
     assert (7, 2) in same(0) and (7, 2) not in same(1) and (8, 3) in same(1) and (8, 3) not in same(2)
+
+
+def test_pipeline_links_near_copies_of_five_words(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    one = [f"w{i}" for i in range(200)]
+    # A replaced passage of 17 words takes 21 of 196 five-word shingles: 175 / 217 = 0.806; of four words 177 / 217 = 0.816, below 0.85.
+    two = [*one[:80], *(f"x{i}" for i in range(17)), *one[97:]]
+    # 20 words: 172 / 220 = 0.782 is no link.
+    three = [*one[:80], *(f"y{i}" for i in range(20)), *one[100:]]
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate((one, two, three))]
+    assert brute_components(rows, 4, 85) == Counter({(0, 197, 0): 1, (1, 197, 1): 1, (2, 197, 2): 1})
+    kept = pipeline.jaccard_dedup(spark, spark.createDataFrame(rows, DDL), "")
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, c in brute_components(rows, 5, 80) if i == c} == {0, 2}
