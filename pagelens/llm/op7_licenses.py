@@ -1,7 +1,8 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; each normalised sentence (lower case, one space between words) is mapped to a known
-licence-sentence identifier, and the sequence of identifiers of a document is matched against ordered licence rules. A rule
+A text is cut into sentences; each normalised sentence (lower case, one space between words) is mapped to all known
+licence-sentence identifiers that it matches, in the order of their places, and the sequence of identifiers of a document is
+matched against ordered licence rules. A general identifier does not count where a specific one has the same words. A rule
 consumes what it matches, so a general rule after a specific one sees only the rest. Everything is one projection of built-in
 functions: no shuffle, no Python.
 
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from pagelens.session import table
 
-#: A sentence without one of these words is never a licence sentence.
+#: Every match of ``SENTENCES`` has one of these words, so texts and sentences without them need no closer look.
+GUARD = "licen[cs]|copyright|permission|software is provided|redistribution|endorse|cc0|creative commons|public domain|all rights reserved|(released|available|distributed) under"
+#: The SQL's narrower guard. It misses licence sentences without these words, and the SQL takes a sentence's first identifier only.
 TRIGGER = "licen[cs]|copyright|spdx|warrant|permission|redistribut|liab|public domain|all rights reserved|notice|endorse"
 
 #: Sentence identifier, pattern of the normalised sentence; the first that matches counts.
@@ -60,6 +63,20 @@ SENTENCES = [
     ("unknownLicence", "(licensed|released) under"),
 ]
 
+#: General identifiers, narrowed: not the words of a more specific one, and no letters around ``cc0``.
+_GPL = "(?<!lesser |library |affero )general public licen[cs]e"
+NARROWED = {
+    "gplOrLater": f"{_GPL}((?!general public).)*(or \\(at your option\\) any later version|or later)",
+    "gpl3": f"{_GPL},? ?(version|v)?\\.? ?3(?!((?!general public).)*or (later|\\(at your option\\) any later version))",
+    "gpl2": f"{_GPL},? ?(version|v)?\\.? ?2(?!((?!general public).)*or (later|\\(at your option\\) any later version))",
+    "gplAny": f"{_GPL}(?!,? ?(version|v)?\\.? ?[23])(?!((?!general public).)*or (later|\\(at your option\\) any later version))",
+    "ccByNc": "(licensed|released|available|distributed) under .*cc[ -]by-nc(?!-sa|-nd)",
+    "ccBy": "(licensed|released|available|distributed) under .*cc[ -]by(?!-nc|-sa)",
+    "cc0": "(?<![a-z0-9])cc0(?![a-z0-9])|creative commons zero|dedicated to the public domain|released into the public domain",
+}
+#: ``unknownLicence`` counts beside these only: any other identifier says what the sentence is licensed under.
+NO_LICENCE = ("proprietary", "copyright")
+
 #: Licence, pattern over the identifiers in order (each followed by a space). Rules run from the first to the last.
 RULES = [
     ("Apache-2.0", "spdxApache2 "),
@@ -94,20 +111,23 @@ RULES = [
 _BLANK = "[\\x09-\\x0D\\x20]"
 
 
-def sentence_id(sentence):
-    """Identifier column of a normalised sentence; null for text that is no licence sentence."""
-    found = F.lit(None).cast("string")
-    for name, pattern in reversed(SENTENCES):
-        found = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(found)
-    return F.when(sentence.rlike(TRIGGER), found)
+def sentence_ids(sentence):
+    """Identifiers of a normalised sentence in the order of their first places (equal places: of ``SENTENCES``)."""
+    named = [(name, NARROWED.get(name, pattern)) for name, pattern in SENTENCES if name != "unknownLicence"]
+    found = F.array(*[F.struct(F.regexp_instr(sentence, F.lit(p)).alias("at"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, p) in enumerate(named)])
+    found = F.transform(F.array_sort(F.filter(found, lambda x: x["at"] > 0)), lambda x: x["name"])
+    unknown = F.when(sentence.rlike(dict(SENTENCES)["unknownLicence"]), F.array(F.lit("unknownLicence"))).otherwise(F.array().cast("array<string>"))
+    rest = F.array(*map(F.lit, NO_LICENCE))
+    return F.transform(F.array(found), lambda x: F.when(F.size(F.array_except(x, rest)) == 0, F.concat(x, unknown)).otherwise(x))[0]
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``sentence_ids`` (the identifiers in order, joined by a space), ``licenses`` (sorted, joined by a comma) and ``unmatched`` (identifiers that no rule used)."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     cut = F.regexp_replace(F.regexp_replace(low, f"([.!?;:]){_BLANK}+", "$1\u0001"), f"\n{_BLANK}*\n", "\u0001")
-    ids = F.transform(F.split(cut, "\u0001", -1), lambda s: sentence_id(F.regexp_replace(s, f"{_BLANK}+", " ")))
-    ids = F.when(low.rlike(TRIGGER), F.array_join(F.filter(ids, lambda x: x.isNotNull()), " ")).otherwise("")
+    sentences = F.transform(F.split(cut, "\u0001", -1), lambda s: F.regexp_replace(s, f"{_BLANK}+", " "))
+    ids = F.flatten(F.transform(F.filter(sentences, lambda s: s.rlike(GUARD)), sentence_ids))
+    ids = F.when(low.rlike(GUARD.replace(" ", f"{_BLANK}+")), F.array_join(ids, " ")).otherwise("")
     out = docs.withColumn("sentence_ids", ids)
     rest = F.when(F.col("sentence_ids") == "", "").otherwise(F.concat("sentence_ids", F.lit(" ")))
     out = out.withColumn("__licence_0", rest)

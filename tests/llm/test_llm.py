@@ -363,3 +363,29 @@ def test_pipeline_links_near_copies_of_five_words(spark):
     assert brute_components(rows, 4, 85) == Counter({(0, 197, 0): 1, (1, 197, 1): 1, (2, 197, 2): 1})
     kept = pipeline.jaccard_dedup(spark, spark.createDataFrame(rows, DDL), "")
     assert {r.doc_id for r in kept.collect()} == {i for i, _, c in brute_components(rows, 5, 80) if i == c} == {0, 2}
+
+
+def test_licenses_without_trigger_words_and_several_in_a_sentence(spark):
+    texts = {
+        "This work is available under CC BY-SA 4.0.": "CC-BY-SA",
+        "Released under the BSD 3-clause terms.": "BSD",
+        "Released\n  under the 3-clause BSD terms.": "BSD",
+        "CC0 1.0 Universal": "CC0",
+        "Dataset released under CC BY 4.0": "CC-BY",
+        "It is distributed under BSD": "BSD",
+        "Creative Commons\tZero": "CC0",
+        "Key 9acc0f and acc0unt, freed and given under no terms": "",
+        "Code is released under the MIT License and data are released under CC BY-NC 4.0": "CC-BY-NC,MIT",
+        "Licensed under the Apache License, Version 2.0 or the GNU General Public License, version 2": "Apache-2.0,GPL-2.0",
+        "Under the GNU General Public License version 2 or later": "GPL-or-later",
+        "GNU Lesser General Public License version 3": "LGPL",
+        "GNU Affero General Public License version 3 and GNU General Public License version 2 and GNU General Public License version 3": "AGPL,GPL-2.0,GPL-3.0",
+        "Available under CC BY-SA 4.0 or CC BY 4.0": "CC-BY,CC-BY-SA",
+        "Copyright (c) 2020 A, all rights reserved": "Proprietary",
+        "Copyright 2020 A, licensed under terms": "UnknownLicence",
+        "Licensed under terms, all rights reserved": "Proprietary,UnknownLicence",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = op7_licenses.scan_licenses(docs).collect()
+    assert {r.text: r.licenses for r in rows} == texts
+    assert {r.unmatched for r in rows} == {"", "copyright"}
