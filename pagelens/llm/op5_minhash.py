@@ -3,8 +3,9 @@
 The distinct five-word shingles of a text go through ``PERMUTATIONS`` multiply-shift universal hash functions, in numpy for
 all texts of a block at once; the least value of each is a component of the fingerprint (16 bits of it, in hex). The share of
 equal components estimates the Jaccard similarity. ``near_duplicates`` joins bands of the signature in Spark and verifies
-each candidate's exact Jaccard; equal shingle sets are one class beforehand, and a band's bucket links each class to the
-bucket's least class only, so that large groups cost no square number of pairs.
+each candidate's exact Jaccard; equal shingle sets are one class beforehand. A band's bucket first links each class to the
+least class of another component only, round by round, so that large groups cost no square number of pairs; all pairs of
+classes that share a bucket and are still in different components are compared afterwards, in blocks.
 
 Cases: a null text is empty; an empty text has the fingerprint of no shingle (every minimum at its maximum), which is
 like itself only; a text of fewer than five words is one shingle; rows with equal ids follow each other in text order, a null
@@ -179,7 +180,9 @@ def op5_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 25, rows: int = 5, k: int = WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id_col, component_id: least id) by MinHash bands: each class of a band's bucket against the bucket's least class, verified exactly on lower-cased shingle sets."""
+    """(id_col, component_id: least id) by MinHash bands: classes of a bucket are compared unless links join them already, verified exactly on lower-cased shingle sets."""
+    from pyspark.sql import Window
+
     from pagelens.llm import graph, op4_jaccard
     from pagelens.session import cut
 
@@ -202,11 +205,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 25, rows: i
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(nodes)], ["key", "node"])
 
     keyed = docs.select(text_col).mapInArrow(run, "key long, node long").distinct()
-    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most").select("key", "a")
-    pairs = cut(keyed.join(least, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = cut(op4_jaccard.shingles_of(docs, nodes, found, k, text_col, id_col))
-    linked = graph.components(graph.verified(pairs, sets, percent))
+    key = Window.partitionBy("key")
+
+    def live(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+        """Rows (key, node, comp) of buckets of several components, with the node that a star links each to."""
+        rows = rows.select("key", "node")
+        rows = rows.withColumn("comp", F.col("node")) if comps is None else rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        who = F.struct("comp", "node")
+        rows = rows.withColumns({"low": F.min(who).over(key), "high": F.max(who).over(key)}).filter("low.comp <> high.comp")
+        return cut(rows.select("key", "node", "comp", F.when(F.col("low.comp") != F.col("comp"), F.col("low.node")).otherwise(F.col("high.node")).alias("star")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = cut(op4_jaccard.sketches_allow(pairs, found, percent))
+        nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        return cut(graph.verified(near, cut(op4_jaccard.shingles_of(docs, nodes, found, k, text_col, id_col)), percent))
+
+    tried = links = comps = None
+    left = live(keyed, None)
+    for _ in range(op4_jaccard.STAR_ROUNDS):
+        stars = left.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
+        stars = cut(stars.join(tried, ["a", "b"], "left_anti") if tried is not None else stars)
+        new = verified(stars)
+        tried = stars if tried is None else tried.unionByName(stars)
+        links = new if links is None else links.unionByName(new)
+        if not new.limit(1).count():
+            break
+        comps = graph.components(links)
+        left = live(left, comps)
+    every = left.select("key", "node", F.lit(op4_jaccard.INDEX | op4_jaccard.PROBE).cast("byte").alias("role"), "comp")
+    rest = cut(op4_jaccard.remaining_pairs(every, found, percent).join(tried, ["a", "b"], "left_anti"))
+    linked = graph.components(links.unionByName(verified(rest)))
     labelled = found.join(linked, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = labelled.filter("comp is not null").groupBy("comp").agg(F.min(id_col).alias("component_id"))
     return labelled.join(first, "comp", "left").select(id_col, F.coalesce("component_id", id_col).alias("component_id"))

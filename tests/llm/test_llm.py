@@ -389,3 +389,19 @@ def test_licenses_without_trigger_words_and_several_in_a_sentence(spark):
     rows = op7_licenses.scan_licenses(docs).collect()
     assert {r.text: r.licenses for r in rows} == texts
     assert {r.unmatched for r in rows} == {"", "copyright"}
+
+
+def test_minhash_links_that_miss_the_least_class(spark):
+    r = random.Random(6)
+    rows = []
+    # A template of 400 words in families of two: near copies in a family (6 words differ), across only where passages meet (25 words differ), yet all share buckets.
+    base = [f"t{i}" for i in range(400)]
+    for family in range(60):
+        at = r.randrange(0, 375)
+        own = [*base[:at], *(f"f{family}x{i}" for i in range(25)), *base[at + 25 :]]
+        for member in range(2):
+            at = r.randrange(0, 394)
+            rows.append((len(rows), " ".join([*own[:at], *(f"m{family}y{member}z{i}" for i in range(6)), *own[at + 6 :]]), "en", "s", 1))
+    want = {(i, c) for i, _, c in brute_components(rows, 5, 80)}
+    got = {tuple(x) for x in op5_minhash.near_duplicates(spark.createDataFrame(rows, DDL)).collect()}
+    assert got == want and len({c for _, c in want}) == 40
