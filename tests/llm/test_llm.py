@@ -405,3 +405,32 @@ def test_minhash_links_that_miss_the_least_class(spark):
     want = {(i, c) for i, _, c in brute_components(rows, 5, 80)}
     got = {tuple(x) for x in op5_minhash.near_duplicates(spark.createDataFrame(rows, DDL)).collect()}
     assert got == want and len({c for _, c in want}) == 40
+
+
+def test_pipeline_stages_keep_what_brute_force_keeps(spark, docs):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    kept = lambda stage, rows: Counter(map(tuple, stage(spark, spark.createDataFrame(rows, DDL).repartition(3), "").collect()))
+    line = "shared line here"
+    rows = corpus() + [(1000 + i, f"own {i}\n {line}\n\nend {i}", "en", f"s{i % 8}", 5) for i in range(16)] + [(1100, line, "en", "s1", 5)]
+
+    assert kept(pipeline.language_id, rows) == Counter(x for x in rows if words(x[1]))
+
+    parts = [(x, [(p, y.strip("\t\n\x0b\f\r ")) for p, y in enumerate(x[1].split("\n"))] if x[1] is not None else []) for x in rows]
+    sites, first = {}, {}
+    for x, mine in parts:
+        for p, y in mine:
+            sites.setdefault(y, set()).add(x[3])
+            place = (x[0] is not None, x[0] or 0, p)
+            first[y] = min(first.get(y, place), place)
+    want = Counter()
+    for x, mine in parts:
+        gone = {p for p, y in mine if y and len(sites[y] - {None}) >= op2_lines.MIN_SITES and (x[0] is not None, x[0] or 0, p) != first[y]}
+        if gone and len(gone) == sum(1 for _, y in mine if y):
+            continue
+        text = "\n".join(y for p, y in enumerate(x[1].split("\n")) if p not in gone) if gone else x[1]
+        want[(x[0], text, x[2], x[3], len(text) if gone else x[4])] += 1
+    assert kept(pipeline.line_dedup, rows) == want and sum(want.values()) < len(rows)
+
+    component = {i: c for i, _, c in brute_components(rows, 5, 80)}
+    want = Counter(x for x in rows if component[x[0]] == x[0])
+    assert kept(pipeline.jaccard_dedup, rows) == want and sum(want.values()) < len(rows)
