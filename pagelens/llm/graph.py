@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.session import cut
@@ -18,6 +18,28 @@ def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: A key with more than one row in so many of a table is hot: there can be no more hot keys than this.
+HOT_KEYS = 1_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, weights: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` by ``key``, with the left rows of hot keys dealt over several tasks and the right rows of these keys copied as often.
+
+    weights: (key, n), the left rows of each key, or of each that can be hot. spread: a whole number that differs among the left rows of a key.
+    The list of hot keys has ``HOT_KEYS`` rows at most (n of them reach the total over ``HOT_KEYS``), so it is small whatever the data."""
+    total = weights.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    share = max(1, total // HOT_KEYS)
+    hot = weights.filter(F.col("n") > share).select(key, F.least(F.ceil(F.col("n") / share), F.lit(HOT_KEYS)).cast("int").alias("__salts")).collect() if total > HOT_KEYS else []
+    if not hot:
+        return left.join(right, key, how)
+    spark = left.sparkSession
+    listed = F.broadcast(spark.createDataFrame(hot, f"`{key}` {dict(weights.dtypes)[key]}, __salts int"))
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = left.join(listed, key, "left").withColumn("__salt", F.pmod(spread, salts).cast("int")).drop("__salts")
+    copied = right.join(listed, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return dealt.join(copied, [key, "__salt"], how).drop("__salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): comp is the least node reachable. Large-star and small-star rounds until nothing changes (a logarithmic number)."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -37,14 +59,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union. sets: (node, shingles binary of sorted uint64, distinct)."""
+def whole(shingles: bytes) -> np.ndarray:
+    return np.frombuffer(shingles, np.uint64)
+
+
+def short(shingles: np.ndarray) -> bytes:
+    """The upper 40 bits of sorted hashes, five bytes each: enough to tell apart the shingles of two texts."""
+    return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def long(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, read=whole) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union. sets: (node, shingles binary of sorted distinct hashes, as ``read`` takes them)."""
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = read(x), read(y)
                 if len(x) > len(y):
                     x, y = y, x
                 if 100 * len(x) < percent * len(y):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.llm import words as W
-from pagelens.llm.graph import components, if_small, verified
+from pagelens.llm.graph import components, if_small, salted_join, verified
 from pagelens.session import cut, prepare, table
 
 WORDS, PERCENT = 4, 85
@@ -232,15 +232,15 @@ def index_rows(docs: DataFrame, k: int, percent: int, text_col: str, common: np.
     return docs.select(text_col).mapInArrow(run, "key long, node long, role byte")
 
 
-def shingles_of(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame:
-    """(node, shingles) of the given classes, read again from one document of each."""
+def shingles_of(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, text_col: str, id_col: str, pack=np.ndarray.tobytes) -> DataFrame:
+    """(node, shingles, as ``pack`` writes them) of the given classes, read again from one document of each."""
     spark = docs.sparkSession
     reps = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias("__rep"))
     reps = cut(reps.select("__rep").distinct())
 
     def run(batches):
         for batch in batches:
-            rows = [(_class(s), s.tobytes()) for _, _, s in _sets([batch], k, 0) if len(s)]
+            rows = [(_class(s), pack(s)) for _, _, s in _sets([batch], k, 0) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["node", "shingles"])
 
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(if_small(reps), F.col("__id").eqNullSafe(F.col("__rep")), "left_semi")
@@ -346,11 +346,38 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     links = links.unionByName(linked(cut(remaining_pairs(rows, found, percent).join(tried, ["a", "b"], "left_anti"))))
     final = components(links)
 
-    labelled = found.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = labelled.filter("comp is not null").groupBy("comp").agg(F.min(id_col).alias("component_id"))
-    out = labelled.join(least, "comp", "left")
+    out = with_component(found, component_ids(found, final, id_col), id_col)
     return out.select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The whole join: (every verified link (a, b) between different classes, a < b; membership (id_col, n_shingles, node) of every row).
+
+    Unlike the components, links inside a group are all compared: a group of n near copies with different sets has up to
+    n (n - 1) / 2 of them. They are found in blocks, so no task holds a group."""
+    prepare(docs.sparkSession)
+    found = cut(classes(docs, k, percent, text_col, id_col))
+    rows = index_rows(docs, k, percent, text_col, common_shingles(docs, found, k, text_col, id_col)).withColumn("comp", F.col("node"))
+    pairs = cut(remaining_pairs(cut(rows.distinct()), found, percent))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return cut(verified(pairs, cut(shingles_of(docs, nodes, found, k, text_col, id_col)), percent)), found.select(id_col, "n_shingles", "node")
+
+
+def component_ids(found: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
+    """(node, component_id: least id) of the classes whose component has two rows or more, checkpointed. linked: (node, comp)."""
+    nodes = found.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("__least"), F.count("*").alias("n"))
+    nodes = cut(nodes.join(linked, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    # The classes of a large component are dealt over tasks when they meet its least id.
+    least = nodes.groupBy("comp").agg(F.min("__least").alias("component_id"), F.sum("n").alias("__rows"), F.count("*").alias("n")).filter("__rows > 1")
+    least = cut(least)
+    return cut(salted_join(nodes.select("node", "n", "comp"), least.drop("n", "__rows"), "comp", least.select("comp", "n"), F.col("node")).select("node", "component_id", "n"))
+
+
+def with_component(found: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """``found`` with ``component_id`` (null where the row is in no group). The rows of a class with very many copies are dealt over tasks."""
+    rows = found.select(id_col, "n_shingles", "node")
+    return salted_join(rows, groups.select("node", "component_id"), "node", groups.select("node", "n"), F.xxhash64(id_col), "left")
+
+
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
