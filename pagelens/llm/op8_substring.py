@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.llm import words as W
-from pagelens.llm.graph import BROADCAST_ROWS, if_small
+from pagelens.llm.graph import BROADCAST_ROWS, if_small, salted_join
 from pagelens.session import cut, prepare, table
 
 WINDOW, ANCHOR = 35, 8
@@ -65,7 +65,7 @@ def runs(w: W.Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.nda
 
 
 def run_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, text_key, first, last) of every segment; texts: (text_key, text)."""
+    """(anchor, text_key, spread, first, last) of every segment; texts: (text_key, text, spread: a number that copies of a text differ by)."""
 
     def run(batches):
         for batch in batches:
@@ -75,9 +75,10 @@ def run_rows(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                 doc = w.doc[a]
                 keys = batch.column(0).take(pa.array(block.row + doc))
                 base = w.first[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), keys, pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], ["anchor", "text_key", "first", "last"])
+                spread = batch.column(2).take(pa.array(block.row + doc))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), keys, spread, pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], ["anchor", "text_key", "spread", "first", "last"])
 
-    return texts.mapInArrow(run, "anchor long, text_key long, first int, last int")
+    return texts.mapInArrow(run, "anchor long, text_key long, spread short, first int, last int")
 
 
 _STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -220,14 +221,13 @@ class WaveletMatrix:
 class FMIndex:
     """Index of a sequence of symbols (0 separates texts); weight: occurrences that each position stands for."""
 
-    DEPTH = 64
-
-    def __init__(self, text: np.ndarray, weight: np.ndarray):
+    def __init__(self, text: np.ndarray, weight: np.ndarray, depth: int = 64):
+        """depth: a match of more symbols need not be told from one of so many; the window's length at least."""
         n = len(text)
         self.n, self.sigma = n, int(text.max()) + 1
         rank = text.astype(np.int64)
         ranks, k = [rank], 1
-        while k < self.DEPTH:
+        while k < depth or k < 2:
             after = np.zeros(n, np.int64)
             after[: max(0, n - k)] = rank[k:] + 1
             key = rank * (max(n, self.sigma) + 2) + after
@@ -246,7 +246,7 @@ class FMIndex:
             same[inside] = ranks[level][left[inside]] == ranks[level][right[inside]]
             move = same * (1 << level)
             lcp, left, right = lcp + move, left + move, right + move
-        level = np.concatenate([[-1], lcp, [-1]]).astype(np.int8)  # level[i]: LCP of rows i - 1 and i
+        level = np.concatenate([[-1], lcp, [-1]]).astype(np.int8 if k < 128 else np.int32)  # level[i]: LCP of rows i - 1 and i
         self.least = [level]
         step = 1
         while 2 * step <= n + 1:
@@ -323,7 +323,7 @@ def search_shard(rows: pa.Table, window: int) -> pa.Table:
         weight.append(min(2, n))
     text, size = np.array(parts, np.int64), np.array(size, np.int64)
     first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    index = FMIndex(text, np.repeat(np.array(weight, np.int64), size + 1))
+    index = FMIndex(text, np.repeat(np.array(weight, np.int64), size + 1), window)
     hit = repeated_windows(first, size, text, index, window)
     out_a, out_b, spans = [], [], []
     some = np.add.reduceat(hit, first) > 0
@@ -342,18 +342,20 @@ def search_shard(rows: pa.Table, window: int) -> pa.Table:
 
 
 def _repeated_runs(texts: DataFrame, window: int) -> DataFrame:
-    """(text_key, runs) of the texts that have a segment whose minimiser is found again, checkpointed."""
+    """(text_key, runs) of the texts that have a segment whose minimiser is found again, checkpointed.
+
+    The rows of a hot minimiser, copies of one text among them, are dealt over several tasks when they meet its count."""
     every = run_rows(texts, window, min(ANCHOR, window))
-    twice = every.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).filter("n >= 2")
-    found = every.join(twice, "anchor")
+    twice = cut(every.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).filter("n >= 2"))
+    found = salted_join(every, twice, "anchor", twice, F.col("spread") + F.col("first"))
     found = found.groupBy("text_key", "anchor", "first", "last").agg(F.count("*").cast("int").alias("copies"), (F.first("n") >= HOT).alias("hot"))
     return cut(found.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "first", "last", "hot", "copies")).alias("runs")))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(text_key: xxhash64 of the text, spans array<struct<lo,hi>>: the word ranges that repeated windows cover), checkpointed."""
     prepare(docs.sparkSession)
-    texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(32_000)).cast("short").alias("spread"))
     found = _repeated_runs(texts, window)
     total = found.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("n")).first().n
     shards = max(1, -(-total // SHARD_SEGMENTS))
@@ -369,7 +371,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
 
 def removed_words(docs: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id_col, n_words, n_removed, spans, kept_text: the words that stay, joined by one space) of every row."""
-    spans = repeated_spans(docs, window, text_col)
+    spans = repeated_spans(docs, window, text_col, id_col)
     total = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first().n
     small = F.broadcast(spans) if total <= BROADCAST_ROWS else spans  # of a counted size: 16 bytes a span
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_key")).join(small, "text_key", "left").select("id", "text", "spans")
@@ -400,5 +402,3 @@ def removed_words(docs: DataFrame, window: int = WINDOW, text_col: str = "text",
 def op8_substring(spark, sf_dir: str) -> DataFrame:
     out = removed_words(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
-
-
