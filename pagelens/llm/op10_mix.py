@@ -7,8 +7,10 @@ probability of a document is its cell's calibrated weight, scaled to the wanted
 keeps a document when a uniform hash of its id and the seed is under that probability: the same documents every time.
 
 Cases: a null source or language is in ``*`` (or its own group if the targets name it as ``*null``); a null or empty text has
-no tokens and follows its cell; target groups that have no tokens are left out and the others scaled to one; repeated rows
-share one fate; an empty table gives an empty one; input columns are kept, results carry the prefix ``mix_``.
+no tokens and follows its cell; target groups that have no tokens are left out and the others scaled to one; a group with
+tokens that no target names is an error (a target of 0 leaves it out), and so are marginals that cannot all hold; repeated rows
+share one fate, rows with a null id that of their text; an empty table gives an empty one; input columns are kept but for those
+named as the results, which carry the prefix ``mix_``.
 """
 
 from __future__ import annotations
@@ -43,8 +45,11 @@ def default_topic(text: Column) -> Column:
     )
 
 
-def rake(cells: dict[tuple, float], targets: list[dict[str, float]], rounds: int = 200, tolerance: float = 1e-9) -> dict[tuple, float]:
-    """Calibrated weights: of the cells' shape, with every marginal at its target share (total 1)."""
+def rake(cells: dict[tuple, float], targets: list[dict[str, float]], rounds: int = 2000, tolerance: float = 1e-9, most: float = 1e-4) -> dict[tuple, float]:
+    """Calibrated weights: of the cells' shape, with every marginal at its target share (total 1).
+
+    Raises ValueError where a group has no target, or where some marginal is still off by more than ``most`` at the end: empty
+    cells can make marginals impossible to meet together."""
     names = [k for k, v in cells.items() if v > 0]
     if not names:
         return {}
@@ -53,6 +58,8 @@ def rake(cells: dict[tuple, float], targets: list[dict[str, float]], rounds: int
     margins = []
     for d, target in enumerate(targets):
         present = sorted({k[d] for k in names})
+        if missing := [g for g in present if g not in target]:
+            raise ValueError(f"groups of marginal {d} without a target: {missing[:10]}")
         goal = np.array([target.get(g, 0.0) for g in present], float)
         if goal.sum() <= 0:
             raise ValueError(f"no group of marginal {d} has a target")
@@ -65,6 +72,9 @@ def rake(cells: dict[tuple, float], targets: list[dict[str, float]], rounds: int
             w *= np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[at]
         if worst < tolerance:
             break
+    off = max(np.abs(np.bincount(at, w, len(goal)) - goal).max() for at, goal in margins)
+    if not off <= most:
+        raise ValueError(f"the marginals cannot all be met: one is off by {off:.2g}")
     return dict(zip(names, (w / w.sum()).tolist(), strict=True))
 
 
@@ -120,7 +130,9 @@ def mix_sources(docs: DataFrame, targets: dict = TARGETS, share: float = SHARE,
     cell = F.concat_ws("\u0001", *keys)
     lookup = F.create_map(*[x for e in entries for x in e])[cell] if entries else F.lit(None).cast("struct<p:double,w:double>")
     rows = rows.withColumn("__mix_cell", lookup)
-    uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11).cast("double") / float(1 << 53)
+    by_text = F.xxhash64(F.lit(seed), F.col(columns.get("text_col", "text")))
+    identity = F.when(F.col(id_col).isNull(), by_text).otherwise(F.xxhash64(F.lit(seed), F.col(id_col)))
+    uniform = F.shiftrightunsigned(identity, 11).cast("double") / float(1 << 53)
     # A cell without tokens has no weight to calibrate: its documents stay, as they change no marginal.
     rows = rows.withColumn("mix_probability", F.coalesce(F.col("__mix_cell.p"), F.lit(1.0)))
     rows = rows.withColumn("mix_weight", F.coalesce(F.col("__mix_cell.w"), F.lit(1.0)) / F.greatest("mix_probability", F.lit(1e-300)))

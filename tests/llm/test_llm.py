@@ -298,6 +298,52 @@ def test_mix(spark, docs, empty):
     assert op10_mix.mix_sources(empty).count() == 0
 
 
+def test_mix_is_as_brute_force(spark):
+    """Cells, calibrated weights, probabilities and the kept rows of a fixture, from plain loops over its rows."""
+    r = random.Random(13)
+    rows = [(i, " ".join(["w"] * r.choice([0, 3, 40, 200]) + ["!!"] * r.choice([0, 0, 30])), r.choice(["en", "de", "pl", None]), r.choice(["src0", "src1", None]), 1) for i in range(400)]
+    rows += [(None, "a b", "en", "src0", 1), (None, "a b", "en", "src0", 1), (None, None, None, None, None), rows[5]]
+    targets = {"source": {"src0": 0.5, "*": 0.5}, "lang": {"en": 0.6, "de": 0.3, "*": 0.1}, "topic": {"prose": 0.7, "shout": 0.3}}
+    cell = {}
+    for k, (i, t, lang, source, _) in enumerate(rows):
+        t = t or ""
+        cell[k] = (source if source == "src0" else "*", lang if lang in ("en", "de") else "*", "shout" if t.count("!") * 50 >= max(len(t), 1) else "prose"), len(words(t))
+    tokens = Counter()
+    for key, n in cell.values():
+        tokens[key] += n
+    w = {k: n / sum(tokens.values()) for k, n in tokens.items() if n}
+    for _ in range(3000):
+        for d, target in enumerate(targets.values()):
+            now = Counter()
+            for k, x in w.items():
+                now[k[d]] += x
+            w = {k: x * target[k[d]] / now[k[d]] for k, x in w.items()}
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(tokens[k], mid * x) for k, x in w.items()) < 0.5 * sum(tokens.values()) else (low, mid)
+    chance = {k: min(1.0, high * x / tokens[k]) for k, x in w.items()}
+    docs = spark.createDataFrame(rows, DDL)
+    from pyspark.sql import functions as F
+
+    hashed = {(x.doc_id, x.text): x.h for x in docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(7), "text")).otherwise(F.xxhash64(F.lit(7), "doc_id")).alias("h")).collect()}
+    want = Counter()
+    for k, (i, t, *_) in enumerate(rows):
+        p = chance.get(cell[k][0], 1.0)
+        if ((hashed[i, t] % (1 << 64)) >> 11) / (1 << 53) < p:
+            want[i, t, cell[k], round(p, 6)] += 1
+    got = op10_mix.mix_sources(docs.withColumn("mix_topic", F.lit("old")).repartition(5), targets, 0.5, 7).collect()
+    assert Counter((x.doc_id, x.text, ((x.mix_source, x.mix_lang, x.mix_topic), x.mix_tokens), round(x.mix_probability, 6)) for x in got) == want and 100 < len(got) < 400
+    for name, part in (("source", {"src0": 1.0}), ("lang", {"en": 0.6, "de": 0.4})):
+        with pytest.raises(ValueError, match="without a target"):
+            op10_mix.mix_sources(docs, targets | {name: part})
+
+
+def test_marginals_that_cannot_hold_are_an_error():
+    with pytest.raises(ValueError, match="cannot all be met"):
+        op10_mix.rake({("a", "x"): 5.0, ("b", "y"): 5.0}, [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}])
+
+
 def test_pipeline_stages(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     now = docs
