@@ -28,12 +28,20 @@ def decoded(text: Column) -> Column:
     return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), REFERENCES.items(), text)
 
 
+#: Values of attributes with their quotes, if any: those of ``lang``, and those of links' ``href``. The quotes come off after.
+LANG = r"(?i)<html[^>]*\slang\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+HREF = r"(?i)<a\s[^>]*?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+QUOTES = r"^[\"']|[\"']$"
+
+
 def title(html: Column) -> Column:
     return F.trim(decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def lang(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?i)<html[^>]*\slang=[\"']([^\"']*)[\"']", 1))
+    """The attribute's value, quoted or not."""
+    found = F.regexp_extract(html, LANG, 1)
+    return F.trim(F.regexp_replace(found, QUOTES, ""))
 
 
 def counts(html: Column) -> dict[str, Column]:
@@ -42,4 +50,5 @@ def counts(html: Column) -> dict[str, Column]:
 
 
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"<a [^>]*href=\"([^\"]*)\""), 1)
+    """Targets of links, quoted or not, in tags of any case."""
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), 1), lambda x: F.regexp_replace(x, QUOTES, ""))

@@ -9,6 +9,7 @@ from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 from pagelens.functions.urls import TRACKING_PARAMS
 
 _PORTS = {"http": 80, "https": 443}
+# Beginnings of references that lead to no page.
 _ELSEWHERE = ("#", "mailto:", "tel:", "javascript:", "data:")
 _TRACKING = frozenset(TRACKING_PARAMS)
 _HOST = re.compile(r"(?=.{1,253}$)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9-]{2,63}", re.I)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin words only: other scripts count no words.
+# What counts as a word (Latin only: other scripts count no words) and as an e-mail address.
 WORD = r"[A-Za-z0-9'À-ɏ]+"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 # Abbreviations of address words.

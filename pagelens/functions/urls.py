@@ -50,8 +50,12 @@ def path_shape(url: Column, depth: int = 2) -> Column:
     return F.array_join(F.slice(F.filter(F.split(F.lower(path(url)), "/"), lambda x: x != ""), 1, depth), "/")
 
 
-def normalize_absolute(url: Column) -> Column:
-    """An absolute http(s) URL in one spelling: lower host, no default port, single slashes, no trailing one, no tracking parameters, no fragment. Null for anything else."""
+#: Addresses that expressions can spell in the normal form: plain host, small port, no reference that would be written anew.
+PLAIN = r"^[A-Za-z]+://[A-Za-z0-9_.-]+(:[1-9][0-9]{0,3})?(/[A-Za-z0-9._~/!$&'()*+,:@%=-]*)?(\?([A-Za-z0-9_.~-]+=[A-Za-z0-9_.~-]*(&+|$|#))*)?(#.*)?$"
+
+
+def plain_form(url: Column) -> Column:
+    """The normal form of an address that ``PLAIN`` matches."""
     s = F.trim(url)
     scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z]+)://", 1))
     port = F.regexp_extract(s, r"^[A-Za-z]+://[^/?#]*:([0-9]+)(?:[/?#]|$)", 1)
@@ -62,3 +66,19 @@ def normalize_absolute(url: Column) -> Column:
     kept = F.filter(F.split(query, "&"), lambda x: (x != "") & ~F.lower(F.split(x, "=")[0]).isin(TRACKING_PARAMS))
     asked = F.array_join(kept, "&")
     return F.when(scheme.isin("http", "https") & (host(s) != ""), F.concat(scheme, F.lit("://"), host(s), F.when(default, "").otherwise(F.concat(F.lit(":"), port)), p, F.when(asked == "", "").otherwise(F.concat(F.lit("?"), asked))))
+
+
+def normalize_absolute(url: Column) -> Column:
+    """An absolute http(s) URL in one spelling: lower host, no user, default port, doubled or final slash, tracking parameter or fragment. Null for anything else.
+
+    Plain addresses stay in expressions; the others (users, IPv6 hosts, queries to be written anew) go to an Arrow worker, which sees nulls for the plain ones."""
+    import pandas as pd
+
+    from pagelens.functions import resolve
+
+    @F.pandas_udf("string")
+    def spelt(addresses: pd.Series) -> pd.Series:
+        return addresses.map(resolve.normal, na_action="ignore").astype(object)
+
+    is_plain = F.coalesce(F.trim(url).rlike(PLAIN), F.lit(False))
+    return F.when(is_plain, plain_form(url)).otherwise(spelt(F.when(~is_plain, url)))

@@ -85,7 +85,12 @@ for _written, _meant in html.REFERENCES.items():
 _TITLE = f"trim({_TITLE})"
 _N = lambda p: f"len(regexp_extract_all(html, '{p}'))::BIGINT"
 _DEPTH = f"CASE WHEN regexp_replace({PATH}, '^/+|/+$', '', 'g') = '' THEN 0 ELSE len(string_split(regexp_replace({PATH}, '^/+|/+$', '', 'g'), '/')) END::INTEGER"
+_ASKED = f"list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT list_contains([{_quoted(urls.TRACKING_PARAMS)}], lower(split_part(x, '=', 1))))"
 ORACLES = {
+    "url_normalize_abs": f"""WITH parts AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, {HOST} AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*:([0-9]+)', 1) AS port,
+ rtrim(regexp_replace({PATH}, '/{{2,}}', '/', 'g'), '/') AS path, array_to_string({_ASKED}, '&') AS asked FROM (SELECT page_id, trim(url) AS url FROM pages))
+ SELECT page_id, CASE WHEN scheme IN ('http', 'https') AND host <> '' THEN scheme || '://' || host || CASE WHEN port = '' OR (scheme, port) IN (('http', '80'), ('https', '443')) THEN '' ELSE ':' || port END
+ || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN asked = '' THEN '' ELSE '?' || asked END END AS normalized FROM parts""",
     "url_columns": rf"""SELECT page_id, {SITE} AS site, NOT regexp_matches(lower({PATH}), '\.({'|'.join(urls.ASSET_SUFFIXES)})$') AS page_like, {_DEPTH} AS depth,
  list_has_any({TOKENS}, [{_quoted(urls.ACCOUNT_TOKENS)}]) AS account, array_to_string(list_filter(string_split(lower({PATH}), '/'), lambda x: x <> '')[1:2], '/') AS shape FROM pages""",
     "html_flags": r"""SELECT page_id, starts_with(lower(ltrim(left(html, 2048))), '<!doctype') AS has_doctype, regexp_matches(left(html, 4096), '(?i)<html[\s>]') AS has_html,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -26,10 +27,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineages: the cluster's ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder for cut lineages: the cluster's ``spark.checkpoint.dir``. A local one is made only where that is unset and
+    everything runs in one process, as in tests; a cluster without a shared folder is an error."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not set_dir and not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(set_dir or f"file:///tmp/pagelens-checkpoint-{os.getpid()}")
     return set_dir or sc._jsc.sc().getCheckpointDir().get()
 

@@ -68,6 +68,14 @@ def test_addresses():
         raise AssertionError(bad)
 
 
+def test_similarity_of_names():
+    cases = {("acme", "acme"): 1.0, ("acme", ""): 0.0, (None, "acme"): 0.0, ("acme", "acme corp"): 0.95, ("acme corporation", "acm"): 0.95, ("ab corp", "abx corp"): None, ("international business machines", "ibm"): 0.93}
+    for (a, b), want in cases.items():
+        got = names.similarity(a, b)
+        assert got == names.similarity(b, a) and (got == want if want is not None else got < 0.95)
+    assert names.similarity("acme tools", "acme paint") >= 0.8 > names.similarity("red fox", "blue whale")
+
+
 def test_names(spark):
     assert [names.similarity(*p) for p in (("", "a"), ("a b", "a b"), ("acme tech", "acme technologies"), ("ibm", "international business machines"))] == [0.0, 1.0, 0.95, 0.93]
     rows = [("s", i, n) for i, n in enumerate(["acme", "acme corp tools", "zenith", "acme", "zenith", None, ""])] + [("t", 1, "solo")]
