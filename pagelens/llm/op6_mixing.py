@@ -4,10 +4,15 @@ A text is its lower-cased words and an end mark; each token is spelt in bytes wi
 Five bit predictors count zeros and ones by context: the last byte, the last two, three and five bytes, and the whole spelling
 so far. A logistic mixer combines their stretched probabilities; its weight set is gated by how much the two longest contexts
 have seen and by the place in the token. An adaptive probability map refines the mix by the last byte. The sum of the bits'
-logarithms is the text's probability.
+logarithms is the spelling's probability.
+
+Over the text a match model goes across words: after each word it foretells the word that followed the same word last in this
+text, and its word is mixed with the spelling's probability by how often it has been right in the text so far, told apart by
+whether it was right just before. So a text's score hangs on the order of its words, and passages that it repeats cost little.
 
 Spark's part: texts become chunks of local token numbers and a vocabulary with training counts (one pass over the texts, one
-written table); counts of all training tokens meet by word; words form packs. A pack's entries (context, next byte) go to
+written table); counts of all training tokens meet by word; words form packs by their hashes, whose number follows the words.
+Packs are learned from in their order, so scores do not hang on how the tables are partitioned. A pack's entries (context, next byte) go to
 shards by their 64-bit keys (56 bits of the context, 8 of the byte), whose number grows with the words; a shard adds up what
 every distinct training word has, weighted by its count, and tells each pack the sums of its own entries and of their bit
 nodes. So nothing is dropped, no two contexts share a slot and no table is held whole; mixer and map learn online, in mini-batches over all training words (each bit's own occurrence left out of the
@@ -36,12 +41,14 @@ from pagelens.session import discard, prepare, release, stored, table
 TABLE_BITS = (16, 18, 20, 20, 20)
 #: From this predictor on the contexts are long.
 LONG = 3
-#: Tasks that learn side by side; their weights are averaged.
-LEARNERS = 12
+#: Bytes of words that a task learns from, about, and the least and most such tasks; their weights are averaged.
+LEARNER_BYTES, LEARNERS = 2_000_000, (12, 512)
 CHUNK_WORDS, CHUNK_TOKENS = 260_000, 2_000_000
 BATCH_BYTES = 100_000
 #: Bytes of words in a pack, and entries that a shard should hold, about.
-PACK_BYTES, SHARD_ENTRIES = 600_000, 2_000_000
+PACK_BYTES, SHARD_ENTRIES = 500_000, 2_000_000
+#: What the match model takes for granted before it has been tried: (right, tried) after a wrong word and after a right one.
+TRIED = ((0.02, 1.0), (0.5, 1.0))
 END = b"\n"
 GATES = 2 * 4 * 4
 RATE, LEAST = 0.05, 1e-6
@@ -139,20 +146,6 @@ class Spelling:
                 yield bit, [(W.mix(c + node) >> W.U(64 - size)).astype(np.int64) for c, size in zip(self.contexts, TABLE_BITS, strict=True)]
 
 
-def spelt(rows, most: int = BATCH_BYTES):
-    """(words, counts) of about so many bytes from batches of (word, c)."""
-    found, counts, held = [], [], 0
-    for batch in rows:
-        for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found.append(w), counts.append(c)
-            held += len(w) + 1
-            if held >= most:
-                yield found, np.array(counts, np.float64)
-                found, counts, held = [], [], 0
-    if found:
-        yield found, np.array(counts, np.float64)
-
-
 def give_back() -> None:
     """Freed memory goes back to the system: the worker lives on into the next stages."""
     pa.default_memory_pool().release_unused()
@@ -160,17 +153,30 @@ def give_back() -> None:
         trim(0)
 
 
-def packs_of(words: DataFrame) -> DataFrame:
-    """(pack, words, counts) from (word, c): about ``PACK_BYTES`` of words, each followed by a blank, and their training counts."""
+def packs_of(words: DataFrame, n_bytes: int) -> DataFrame:
+    """(pack, words, counts) from (word, c): about ``PACK_BYTES`` of words, each followed by a blank, and their training counts.
+
+    A word's pack and place in it follow from the word alone and the number of packs."""
+    packs = max(1, -(-n_bytes // PACK_BYTES))
 
     def run(batches):
-        from pyspark import TaskContext
+        now, found, counts = None, [], []
 
-        task = TaskContext.get().partitionId() << 32
-        for made, (found, counts) in enumerate(spelt(batches, PACK_BYTES)):
-            yield pa.RecordBatch.from_arrays([pa.array([task + made]), pa.array([b" ".join([*found, b""])], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["pack", "words", "counts"])
+        def close():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b" ".join([*found, b""])], pa.binary()), pa.array([np.array(counts, np.float64).tobytes()], pa.binary())], ["pack", "words", "counts"])
 
-    return words.mapInArrow(run, "pack long, words binary, counts binary")
+        for batch in batches:
+            for pack, w, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if pack != now:
+                    if found:
+                        yield close()
+                    now, found, counts = pack, [], []
+                found.append(w), counts.append(c)
+        if found:
+            yield close()
+
+    rows = words.select(F.pmod(F.xxhash64("word"), F.lit(packs)).alias("pack"), "word", "c")
+    return rows.repartition(max(1, -(-packs // 4)), "pack").sortWithinPartitions("pack", "word").mapInArrow(run, "pack long, words binary, counts binary")
 
 
 def _pack(found: bytes, counts: bytes) -> tuple[list[bytes], np.ndarray]:
@@ -219,7 +225,7 @@ def told(packs: DataFrame, counted: DataFrame, tasks: int) -> DataFrame:
     """(pack, shard, data, counts) in order: each pack's words, then the parts of its entries' counts."""
     rows = packs.select("pack", F.lit(-1).alias("shard"), F.col("words").alias("data"), "counts")
     rows = rows.unionByName(counted.select("pack", "shard", F.col("part").alias("data"), F.lit(None).cast("binary").alias("counts")))
-    task = F.pmod(F.shiftright("pack", 32) * 5 + F.col("pack").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(tasks)).cast("int")
+    task = F.pmod("pack", F.lit(tasks)).cast("int")
     return rows.repartitionById(tasks, task).sortWithinPartitions("pack", "shard")
 
 
@@ -349,6 +355,33 @@ def score_words(rows: DataFrame, weights: np.ndarray, refine: np.ndarray) -> Dat
     return rows.mapInArrow(run, "word binary, c long, score double")
 
 
+def matched(tokens: np.ndarray, size: np.ndarray, first: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """log10 probability of every token where the match model has its say: tokens of texts one after the other, of each its number and score by its spelling."""
+    n = len(tokens)
+    text = np.repeat(np.arange(len(size)), size)
+    inner = np.ones(n, bool)
+    inner[first] = False
+    # Places with the same word before them, text by text, in order: the place before in this order is where the word was last.
+    key = np.full(n, -1, np.int64)
+    key[1:] = (text[1:].astype(np.int64) << 32) | tokens[:-1]
+    key[~inner] = -1
+    order = np.argsort(key, kind="stable")
+    again = (key[order[1:]] == key[order[:-1]]) & (key[order[1:]] >= 0)
+    tried, right = np.zeros(n, bool), np.zeros(n, bool)
+    tried[order[1:][again]] = True
+    right[order[1:][again]] = tokens[order[1:][again]] == tokens[order[:-1][again]]
+    was = np.zeros(n, bool)
+    was[1:] = right[:-1] & inner[1:]
+    share = np.zeros(n)
+    for state, (a, b) in enumerate(TRIED):
+        here = tried & (was == bool(state))
+        met, hits = np.cumsum(here), np.cumsum(here & right)
+        met, hits = (x - (here & y) for x, y in ((met, True), (hits, right)))  # before this place
+        met, hits = (x - x[first][text] for x in (met, hits))  # in this text; its first place is never tried
+        share = np.where(here, (hits + a) / (met + b), share)
+    return np.where(right, np.log10((1 - share) * 10.0**score + share + 1e-300), score + np.log10(1 - share))
+
+
 # --- the operator ---------------------------------------------------------------------------------------------------------
 
 
@@ -364,12 +397,13 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     words = stored(vocabulary().groupBy("word").agg(F.sum("n").cast("long").alias("c")))
     n_bytes = words.agg(F.coalesce(F.sum(F.octet_length("word") + 1), F.lit(0))).first()[0]
     total, distinct = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    packs = stored(packs_of(words))
+    packs = stored(packs_of(words, n_bytes))
+    learners = min(max(LEARNERS[0], -(-n_bytes // LEARNER_BYTES)), LEARNERS[1])
     discard(words)
     counted = stored(count_entries(packs, n_bytes))
-    weights, refine = learn_mixer(told(packs, counted, LEARNERS))
+    weights, refine = learn_mixer(told(packs, counted, learners))
     release(spark)
-    scored = stored(score_words(told(packs, counted, max(LEARNERS, -(-n_bytes // (4 * PACK_BYTES)))), weights, refine))
+    scored = stored(score_words(told(packs, counted, max(learners, -(-n_bytes // (4 * PACK_BYTES)))), weights, refine))
     discard(packs, counted)
     release(spark)
     back = vocabulary().drop("n").join(scored, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "c", "score")).alias("scores"))
@@ -384,13 +418,13 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 at = flat.field("pos").to_numpy()
                 c, score = np.zeros(len(at)), np.zeros(len(at))
                 c[at], score[at] = flat.field("c").to_numpy(), flat.field("score").to_numpy()
-                tokens = np.frombuffer(get("tokens").as_py(), np.uint16 if len(at) <= 1 << 16 else np.uint32)
+                tokens = np.frombuffer(get("tokens").as_py(), np.uint16 if len(at) <= 1 << 16 else np.uint32).astype(np.int64)
                 size = get("sizes").values.to_numpy()
                 first = np.concatenate([[0], np.cumsum(size)[:-1]])
                 base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
                 per_text = lambda x: np.add.reduceat(x[tokens], first)  # noqa: B023, E731
                 n_bytes = per_text(get("lengths").values.to_numpy().astype(np.int64) + 1)
-                model = per_text(score)
+                model = np.add.reduceat(matched(tokens, size, first, score[tokens]), first)
                 bits = -model * np.log2(10) / n_bytes
                 columns = [get("ids").values, get("held").values, pa.array(size, pa.int64()), pa.array(per_text((c > 0).astype(np.int64))), pa.array(np.full(len(size), total, np.int64)), pa.array(per_text(base)), pa.array(model), pa.array(n_bytes), pa.array(bits)]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])

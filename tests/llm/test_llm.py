@@ -369,7 +369,7 @@ def test_predictors_count_every_training_word(spark, monkeypatch):
     monkeypatch.setattr(op6_mixing, "PACK_BYTES", 300)
     monkeypatch.setattr(op6_mixing, "SHARD_ENTRIES", 500)
     table = spark.createDataFrame(list(found.items()), "word binary, c long").repartition(3).sortWithinPartitions("word")
-    packs = op6_mixing.packs_of(table).cache()
+    packs = op6_mixing.packs_of(table, sum(map(len, found)) + len(found)).cache()
     counted = op6_mixing.count_entries(packs, sum(map(len, found)) + len(found))
     contexts = lambda w, i: [w[max(0, i - n) : i].rjust(n, b"\0") for n in (1, 2, 3, 5)] + [w[:i]]
     want = Counter()
