@@ -135,8 +135,8 @@ def odd_sketch(shingles: np.ndarray, scheme: Scheme) -> bytes:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
 
-def sketches_allow(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their sizes and odd sketches do not rule out."""
+def sketches_allow(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sizes and odd sketches do not rule out. one: as ``class_table`` gives it."""
 
     def run(batches):
         for batch in batches:
@@ -154,7 +154,6 @@ def sketches_allow(pairs: DataFrame, found: DataFrame, percent: int) -> DataFram
                 keep.append(int(np.bitwise_count(x ^ y).sum()) <= most)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one = found.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     left = one.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     right = one.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
@@ -190,9 +189,20 @@ def classes(docs: DataFrame, k: int, percent: int, text_col: str, id_col: str) -
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_shingles long, node long, sketch binary")
 
 
-def common_shingles(docs: DataFrame, found: DataFrame, k: int, text_col: str, id_col: str) -> np.ndarray:
+def tied(comps: DataFrame) -> DataFrame:
+    """(a, b): a link of each class to its component, which stands for all the links found so far."""
+    return comps.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+
+
+def class_table(found: DataFrame, id_col: str) -> DataFrame:
+    """(node, n: shingles, sketch, __least: least id, __rows) of every class, checkpointed: rows of a class meet by partial aggregation, once."""
+    some = found.filter("node is not null").groupBy("node")
+    return cut(some.agg(F.first("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.min(id_col).alias("__least"), F.count("*").alias("__rows")))
+
+
+def common_shingles(docs: DataFrame, one: DataFrame, k: int, text_col: str, id_col: str) -> np.ndarray:
     """Sorted hashes of shingles that several documents of a bounded sample share (at most ``COMMON_MOST``)."""
-    ids = found.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("__rep")).orderBy("node").limit(COMMON_SAMPLE).select("__rep")
+    ids = one.orderBy("node").limit(COMMON_SAMPLE).select(F.col("__least").alias("__rep"))
 
     def run(batches):
         for _, _, s in _sets(batches, k, 0):
@@ -232,11 +242,10 @@ def index_rows(docs: DataFrame, k: int, percent: int, text_col: str, common: np.
     return docs.select(text_col).mapInArrow(run, "key long, node long, role byte")
 
 
-def shingles_of(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, text_col: str, id_col: str, pack=np.ndarray.tobytes) -> DataFrame:
+def shingles_of(docs: DataFrame, nodes: DataFrame, one: DataFrame, k: int, text_col: str, id_col: str, pack=np.ndarray.tobytes) -> DataFrame:
     """(node, shingles, as ``pack`` writes them) of the given classes, read again from one document of each."""
     spark = docs.sparkSession
-    reps = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(id_col).alias("__rep"))
-    reps = cut(reps.select("__rep").distinct())
+    reps = cut(one.join(nodes, "node", "left_semi").select(F.col("__least").alias("__rep")).distinct())
 
     def run(batches):
         for batch in batches:
@@ -249,15 +258,14 @@ def shingles_of(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, tex
     return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def remaining_pairs(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def remaining_pairs(rows: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of different components that meet in a key and that sizes and sketches allow.
 
     rows: (key, node, role, comp). The entries of a key are dealt into blocks; blocks are compared with blocks as matrices, so
     a key of many entries that are alike but not linked yields its few survivors and never the list of its pairs."""
 
-    one = found.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
     many = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = rows.join(many, "key").join(one, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    blocks = rows.join(many, "key").join(one.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     blocks = blocks.groupBy("key", "block").agg(F.collect_list(F.struct("node", "role", "comp", "n", "sketch")).alias("entries"))
     blocks = cut(blocks)
 
@@ -307,6 +315,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     """(id_col, n_shingles, component_id: the least id reachable by links) of every row."""
     prepare(docs.sparkSession)
     found = cut(classes(docs, k, percent, text_col, id_col))
+    one = class_table(found, id_col)
     key = Window.partitionBy("key")
     is_index, is_probe = (F.col("role").bitwiseAND(F.lit(bit).cast("byte")) != 0 for bit in (INDEX, PROBE))
 
@@ -319,34 +328,33 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
         rows = rows.withColumn("star", F.coalesce(other("index", is_probe), other("probe", is_index)))
         return rows.filter("star is not null").select("key", "node", "role", "star")
 
-    buckets = cut(live(index_rows(docs, k, percent, text_col, common_shingles(docs, found, k, text_col, id_col)).withColumn("comp", F.col("node"))))
+    buckets = cut(live(index_rows(docs, k, percent, text_col, common_shingles(docs, one, k, text_col, id_col)).withColumn("comp", F.col("node"))))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        near = cut(sketches_allow(pairs, found, percent))
+        near = cut(sketches_allow(pairs, one, percent))
         nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        return cut(verified(near, cut(shingles_of(docs, nodes, found, k, text_col, id_col)), percent))
+        return cut(verified(near, cut(shingles_of(docs, nodes, one, k, text_col, id_col)), percent))
 
-    tried = links = comps = None
+    tried = comps = None
     rows = buckets
     for _ in range(STAR_ROUNDS):
         stars = rows.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
         stars = cut(stars.join(tried, ["a", "b"], "left_anti") if tried is not None else stars)
         new = linked(stars)
         tried = stars if tried is None else tried.unionByName(stars)
-        links = new if links is None else links.unionByName(new)
         if not new.limit(1).count():
             break
-        comps = components(new if comps is None else comps.filter("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(new))
+        comps = components(new if comps is None else tied(comps).unionByName(new))
         rows = buckets.select("key", "node", "role").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         rows = cut(live(rows))
     # What is left: every pair of different components that meets in a key and was not compared.
     rows = rows.select("key", "node", "role").distinct()
     rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else rows.withColumn("comp", F.col("node"))
     rows = cut(rows)
-    links = links.unionByName(linked(cut(remaining_pairs(rows, found, percent).join(tried, ["a", "b"], "left_anti"))))
-    final = components(links)
+    last = linked(cut(remaining_pairs(rows, one, percent).join(tried, ["a", "b"], "left_anti")))
+    final = components(last if comps is None else tied(comps).unionByName(last))
 
-    out = with_component(found, component_ids(found, final, id_col), id_col)
+    out = with_component(found, component_ids(one, final), id_col)
     return out.select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
 
 
@@ -357,15 +365,16 @@ def jaccard_links(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, text_
     n (n - 1) / 2 of them. They are found in blocks, so no task holds a group."""
     prepare(docs.sparkSession)
     found = cut(classes(docs, k, percent, text_col, id_col))
-    rows = index_rows(docs, k, percent, text_col, common_shingles(docs, found, k, text_col, id_col)).withColumn("comp", F.col("node"))
-    pairs = cut(remaining_pairs(cut(rows.distinct()), found, percent))
+    one = class_table(found, id_col)
+    rows = index_rows(docs, k, percent, text_col, common_shingles(docs, one, k, text_col, id_col)).withColumn("comp", F.col("node"))
+    pairs = cut(remaining_pairs(cut(rows.distinct()), one, percent))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return cut(verified(pairs, cut(shingles_of(docs, nodes, found, k, text_col, id_col)), percent)), found.select(id_col, "n_shingles", "node")
+    return cut(verified(pairs, cut(shingles_of(docs, nodes, one, k, text_col, id_col)), percent)), found.select(id_col, "n_shingles", "node")
 
 
-def component_ids(found: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
-    """(node, component_id: least id) of the classes whose component has two rows or more, checkpointed. linked: (node, comp)."""
-    nodes = found.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("__least"), F.count("*").alias("n"))
+def component_ids(one: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, component_id: least id, n: rows) of the classes whose component has two rows or more, checkpointed. linked: (node, comp)."""
+    nodes = one.select("node", "__least", F.col("__rows").alias("n"))
     nodes = cut(nodes.join(linked, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     # The classes of a large component are dealt over tasks when they meet its least id.
     least = nodes.groupBy("comp").agg(F.min("__least").alias("component_id"), F.sum("n").alias("__rows"), F.count("*").alias("n")).filter("__rows > 1")

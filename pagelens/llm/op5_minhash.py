@@ -39,10 +39,10 @@ SALTS = 16
 
 
 def permutations(n: int = PERMUTATIONS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and addends of n multiply-shift functions h(x) = (a x + b mod 2^64) >> 32."""
+    """Odd multipliers and addends of n permutations h(x) = a x + b mod 2^32 of 32-bit shingle hashes."""
     draw = np.random.Generator(np.random.PCG64(seed))
-    a = draw.integers(0, 1 << 64, n, dtype=np.uint64) | W.U(1)
-    return a, draw.integers(0, 1 << 64, n, dtype=np.uint64)
+    a = draw.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
+    return a, draw.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
 def signatures(block: W.Block, a: np.ndarray, b: np.ndarray, k: int = WORDS) -> np.ndarray:
@@ -57,14 +57,18 @@ def signatures(block: W.Block, a: np.ndarray, b: np.ndarray, k: int = WORDS) ->
         h, doc = np.concatenate([h, *own]), np.concatenate([doc, short])
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
-    out = np.full((docs, len(a)), (1 << 32) - 1, np.uint64)
+    out = np.full((len(a), docs), (1 << 32) - 1, np.uint32)
     if len(h):
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        rows, x = doc[first], (h >> W.U(32)).astype(np.uint32)
+        y = np.empty_like(x)
         with np.errstate(over="ignore"):
             for j in range(len(a)):
-                out[doc[first], j] = np.minimum.reduceat((h * a[j] + b[j]) >> W.U(32), first)
+                np.multiply(x, a[j], out=y)
+                np.add(y, b[j], out=y)
+                out[j, rows] = np.minimum.reduceat(y, first)
     # Of the 32-bit minimum 16 mixed bits are kept: unequal minima meet by chance once in 65,536.
-    return (W.mix(out) >> W.U(48)).astype(np.uint16)
+    return (W.mix(np.ascontiguousarray(out.T).astype(np.uint64)) >> W.U(48)).astype(np.uint16)
 
 
 def hexed(signature: np.ndarray) -> str:
@@ -234,16 +238,13 @@ def band_keys(docs: DataFrame, bands: int, rows: int, k: int, text_col: str) ->
     return docs.select(text_col).mapInArrow(run, "key long, node long")
 
 
-def _packed_shingles(docs: DataFrame, nodes: DataFrame, found: DataFrame, k: int, text_col: str, id_col: str) -> DataFrame:
-    return op4_jaccard.shingles_of(docs, nodes, found, k, text_col, id_col, graph.short)
-
-
 def groups_of(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, k: int = WORDS, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(found: (id, n_shingles, node, sketch) of every row; (node, component_id) of classes in a group of two documents or more).
 
     Classes that share a band's bucket are compared unless links join them already, and verified exactly on shingle sets."""
     prepare(docs.sparkSession)
     found = cut(op4_jaccard.classes(docs, k, percent, text_col, id_col))
+    one = op4_jaccard.class_table(found, id_col)
     keyed = stored(band_keys(docs, bands, rows, k, text_col))
 
     def live(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -259,14 +260,14 @@ def groups_of(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows:
         return cut(rows.select("key", "node", "comp", F.when(F.col("low.comp") != F.col("comp"), F.col("low.node")).otherwise(F.col("high.node")).alias("star")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        near = cut(op4_jaccard.sketches_allow(pairs, found, percent))
+        near = cut(op4_jaccard.sketches_allow(pairs, one, percent))
         nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        sets = stored(_packed_shingles(docs, nodes, found, k, text_col, id_col))
+        sets = stored(op4_jaccard.shingles_of(docs, nodes, one, k, text_col, id_col, graph.short))
         links = cut(graph.verified(near, sets, percent, graph.long))
         discard(sets)
         return links
 
-    tried = links = comps = None
+    tried = comps = None
     left = live(keyed, None)
     discard(keyed)
     for _ in range(op4_jaccard.STAR_ROUNDS):
@@ -274,15 +275,15 @@ def groups_of(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows:
         stars = cut(stars.join(tried, ["a", "b"], "left_anti") if tried is not None else stars)
         new = verified(stars)
         tried = stars if tried is None else tried.unionByName(stars)
-        links = new if links is None else links.unionByName(new)
         if not new.limit(1).count():
             break
-        comps = graph.components(links)
+        comps = graph.components(new if comps is None else op4_jaccard.tied(comps).unionByName(new))
         left = live(left, comps)
     every = left.select("key", "node", F.lit(op4_jaccard.INDEX | op4_jaccard.PROBE).cast("byte").alias("role"), "comp").distinct()
-    rest = cut(op4_jaccard.remaining_pairs(every, found, percent).join(tried, ["a", "b"], "left_anti"))
-    linked = graph.components(links.unionByName(verified(rest)))
-    return found, op4_jaccard.component_ids(found, linked, id_col)
+    rest = cut(op4_jaccard.remaining_pairs(every, one, percent).join(tried, ["a", "b"], "left_anti"))
+    last = verified(rest)
+    linked = graph.components(last if comps is None else op4_jaccard.tied(comps).unionByName(last))
+    return found, op4_jaccard.component_ids(one, linked)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, k: int = WORDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
