@@ -30,13 +30,13 @@ def token_prefixes(a: Column, b: Column) -> Column:
 
 def brand_from_title(title: Column, host: Column) -> Column:
     """The first short part of a parted title that agrees with the host's first telling label; null where none does."""
-    parts = F.filter(F.transform(F.split(title, r"\s[|–—\-·:]\s"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(title, r"\s[|–—\-·:]\s"), lambda x: F.trim(x)), lambda x: x != "")
     short = F.filter(parts, lambda x: (F.length(x) <= 60) & (F.size(F.split(x, r"\s+")) <= 6))
     # Labels of a host that tell nothing.
     telling = F.filter(F.split(F.lower(host), r"\."), lambda x: ~x.isin("www", "com", "org", "net", "co", "io", "ai") & (x != ""))
     label = F.regexp_replace(F.get(telling, F.lit(0)), "[^a-z0-9]", "")
     squash = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
-    agreed = F.filter(short, lambda x: (squash(x) != "") & (squash(x).startswith(label) | label.startswith(squash(x))))
+    agreed = F.filter(short, lambda x: (label != "") & (squash(x) != "") & (squash(x).startswith(label) | label.startswith(squash(x))))
     return F.when(F.size(parts) >= 2, F.get(agreed, F.lit(0)))
 
 

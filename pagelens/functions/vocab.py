@@ -115,3 +115,18 @@ EXPECTED = {
     "faqpage": ["mainEntity"],
     "breadcrumblist": ["itemListElement"],
 }
+
+# Types whose blocks state contacts (besides any type that ends with "business"), and the one that states names only.
+CONTACT_TYPES = ["organization", "corporation", "localbusiness", "onlinestore", "store", "ngo", "educationalorganization"]
+NAME_TYPES = ["website"]
+# Types whose name or headline should agree with the page's heading.
+TITLED_TYPES = ["product", "article", "newsarticle", "blogposting"]
+# The fields of an address in the order in which they are written.
+ADDRESS_FIELDS = ["streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry"]
+# Fields of structured data, and a property of the page, that hold dates.
+DATE_FIELDS = ["datePublished", "dateModified", "uploadDate"]
+DATE_PROPERTY = "updated_time"
+# Roles whose whole text is searched for contacts.
+CONTACT_ROLES = ["contact", "about", "home"]
+# Sources of a name that stand by themselves.
+STRONG_SOURCES = ["jsonld", "og", "footer"]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from pagelens.functions import resolve
 from pagelens.functions import vocab as V
-from pagelens.functions.text import WORD
+from pagelens.functions.text import DATE, PLACEHOLDER, WORD
 from pagelens.session import prepare
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -26,7 +26,9 @@ _ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "mai
 _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 _WORD = re.compile(WORD)
 _LD = re.compile(r"ld\+json", re.I)
-TEXT_CAP = {"footer_text": 2000, "times": 20, "ctas": 30, "cta_length": 60}
+_DATE, _PLACEHOLDER = re.compile(DATE, re.I), re.compile(PLACEHOLDER, re.I)
+# How much of each kind is kept.
+TEXT_CAP = {"footer_text": 2000, "times": 20, "ctas": 30, "cta_length": 60, "dated_text": 6000, "dates": 25, "defects": 8, "node": 4000}
 
 
 def _squeeze(parts) -> str:
@@ -166,6 +168,84 @@ def ld_types(blocks: list[str]) -> list[str]:
     return sorted(found)
 
 
+def _kinds(node: dict) -> list[str]:
+    kind = node.get("@type")
+    return [k for k in (kind if isinstance(kind, list) else [kind]) if isinstance(k, str)]
+
+
+def typed_nodes(blocks: list[str]) -> list[dict]:
+    """Every object with a type in the blocks, each content once: the members of a graph before the object that holds it, that before what else it holds."""
+    found: dict[str, dict] = {}
+    todo: list = [json.loads(b) for b in reversed(blocks)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            (node,) = x
+            found.setdefault(json.dumps(node, sort_keys=True)[: TEXT_CAP["node"]], node)
+        elif isinstance(x, list):
+            todo.extend(reversed(x))
+        elif isinstance(x, dict):
+            todo.extend(v for v in reversed(list(x.values())) if isinstance(v, (dict, list)))
+            if x.get("@type"):
+                todo.append((x,))
+            if isinstance(x.get("@graph"), list):
+                todo.extend(reversed(x["@graph"]))
+    return list(found.values())
+
+
+def _said(value) -> list[str]:
+    """Texts of a field that may hold one or several."""
+    return [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, str)]
+
+
+def _address(value) -> list[str]:
+    while isinstance(value, list) and value:
+        value = value[0]
+    if isinstance(value, dict):
+        value = ", ".join(x for k in V.ADDRESS_FIELDS if isinstance(x := value.get(k), str) and x.strip())
+    return [value] if isinstance(value, str) and value else []
+
+
+def stated_facts(nodes: list[dict]) -> list[tuple[str, str]]:
+    """(kind, value) of what organisations, websites and products state about themselves, in order."""
+    out = []
+    for node in nodes:
+        kinds = [k.lower() for k in _kinds(node)]
+        reachable = any(k in V.CONTACT_TYPES or k.endswith("business") for k in kinds)
+        fields = [("organization_name", _said(node.get(k))) for k in ("name", "legalName")] if reachable or set(kinds) & set(V.NAME_TYPES) else []
+        if reachable:
+            fields += [("email", _said(node.get("email"))), ("phone", _said(node.get("telephone"))), ("address", _address(node.get("address"))), ("social", _said(node.get("sameAs")))]
+        if "product" in kinds:
+            offers = node.get("offers")
+            offers = [o for o in (offers if isinstance(offers, list) else [offers]) if isinstance(o, dict) and o.get("price") is not None]
+            fields.append(("price", [f"{o.get('priceCurrency', '')} {o['price']}".strip() for o in offers]))
+        out += [(kind, value) for kind, values in fields for value in values]
+    return out
+
+
+def judged_nodes(nodes: list[dict]) -> tuple[list[str], str]:
+    """(what the blocks lack or left unfilled, the first product's or article's name)."""
+    wrong, named = [], ""
+    for node in nodes:
+        kinds = _kinds(node)
+        label = kinds[0] if kinds else "node"
+        for field in (f for k in kinds for f in V.EXPECTED.get(k.lower(), ())):
+            value = node.get(field)
+            if value is None:
+                wrong.append(f"{label} lacks {field}")
+            elif (isinstance(value, str) and not value.strip()) or value in ([], {}):
+                wrong.append(f"{label} has an empty {field}")
+        wrong += [f"{label} {k} holds a placeholder: {v[:60]}" for k, v in node.items() if isinstance(v, str) and _PLACEHOLDER.search(v)]
+        if not named and set(V.TITLED_TYPES) & {k.lower() for k in kinds}:
+            named = next((v.strip() for k in ("name", "headline") if isinstance(v := node.get(k), str) and v.strip()), "")
+    return list(dict.fromkeys(wrong))[: TEXT_CAP["defects"]], named
+
+
+def dates_of(og: dict, times: list[str], nodes: list[dict], text: str) -> list[str]:
+    found = [og.get(V.DATE_PROPERTY, ""), *times, *(v for n in nodes for k in V.DATE_FIELDS if isinstance(v := n.get(k), str)), *_DATE.findall(text[: TEXT_CAP["dated_text"]])]
+    return list(dict.fromkeys(x for x in found if x))[: TEXT_CAP["dates"]]
+
+
 def parse(page: str | None, url: str | None) -> dict:
     url = url or ""
     walk = Page(url)
@@ -175,13 +255,18 @@ def parse(page: str | None, url: str | None) -> dict:
     links = list(dict.fromkeys(x for x in walk.lists["hrefs"] if x))
     near = [x for x in links if resolve.same_site(x, url)]
     text = _squeeze(walk.text)
+    nodes = typed_nodes(walk.lists["jsonld"])
+    defects, primary = judged_nodes(nodes)
+    times = walk.lists["times"][: TEXT_CAP["times"]]
     region = lambda name: walk.regions.get(name, {"links": [], "text": ""})
     of_region = lambda name: [x for x in dict.fromkeys(region(name)["links"]) if resolve.same_site(x, url)]
     return {
         **walk.got,
         "title": walk.got["title"] or "",
         "h1": walk.lists["h1"], "h2": walk.lists["h2"],
-        "times": walk.lists["times"][: TEXT_CAP["times"]], "ctas": walk.lists["ctas"][: TEXT_CAP["ctas"]],
+        "times": times, "dates": dates_of(walk.og, times, nodes, text), "defects": defects, "primary_name": primary,
+        "stated": [{"kind": k, "value": v} for k, v in stated_facts(nodes)],
+        "ctas": walk.lists["ctas"][: TEXT_CAP["ctas"]],
         "jsonld": walk.lists["jsonld"], "jsonld_errors": walk.lists["jsonld_errors"], "jsonld_types": ld_types(walk.lists["jsonld"]), "microdata_types": sorted(set(walk.lists["microdata_types"])),
         "og": list(walk.og.items()),
         "internal_links": near, "external_links": [x for x in links if x not in set(near)],
@@ -192,21 +277,26 @@ def parse(page: str | None, url: str | None) -> dict:
     }
 
 
-_TEXTS = "title lang description robots canonical footer_text text".split()
+_TEXTS = "title lang description robots canonical footer_text text primary_name".split()
 _COUNTS = "headings_total forms images images_without_alt words".split()
 _FLAGS = "has_main has_nav has_header has_footer".split()
-_ARRAYS = "h1 h2 times ctas jsonld jsonld_errors jsonld_types microdata_types internal_links external_links nav_links header_links footer_links".split()
-_TYPES = {**dict.fromkeys(_TEXTS, pa.string()), **dict.fromkeys(_COUNTS, pa.int64()), **dict.fromkeys(_FLAGS, pa.bool_()), **dict.fromkeys(_ARRAYS, pa.list_(pa.string())), "og": pa.map_(pa.string(), pa.string())}
-_DDL = ", ".join([f"{k} string" for k in _TEXTS] + [f"{k} long" for k in _COUNTS] + [f"{k} boolean" for k in _FLAGS] + [f"{k} array<string>" for k in _ARRAYS] + ["og map<string,string>"])
+_ARRAYS = "h1 h2 times dates defects ctas jsonld jsonld_errors jsonld_types microdata_types internal_links external_links nav_links header_links footer_links".split()
+_TYPES = {**dict.fromkeys(_TEXTS, pa.string()), **dict.fromkeys(_COUNTS, pa.int64()), **dict.fromkeys(_FLAGS, pa.bool_()), **dict.fromkeys(_ARRAYS, pa.list_(pa.string())), "og": pa.map_(pa.string(), pa.string()), "stated": pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))}
+_DDL = ", ".join([f"{k} string" for k in _TEXTS] + [f"{k} long" for k in _COUNTS] + [f"{k} boolean" for k in _FLAGS] + [f"{k} array<string>" for k in _ARRAYS] + ["og map<string,string>", "stated array<struct<kind:string,value:string>>"])
 
 
-def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id_col, url_col and all parsed columns) of every page."""
+def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """(id_col, url_col, the columns to keep, and all parsed columns) of every page. A kept column may not have a parsed one's name."""
     prepare(pages.sparkSession)
+    kept = [c for c in keep or [] if c not in (id_col, url_col, html_col)]
+    if clash := sorted({*kept, id_col, url_col} & set(_TYPES)):
+        raise ValueError(f"columns named as parsed ones: {clash}")
+    carried = [id_col, url_col, *kept]
 
     def run(batches):
         for batch in batches:
-            rows = [parse(h, u) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], t) for k, t in _TYPES.items())], [id_col, url_col, *_TYPES])
+            rows = [parse(h, u) for u, h in zip(batch.column(1).to_pylist(), batch.column(len(carried)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *(pa.array([r[k] for r in rows], t) for k, t in _TYPES.items())], [*carried, *_TYPES])
 
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {dict(pages.dtypes)[id_col]}, `{url_col}` string, {_DDL}")
+    kinds = dict(pages.dtypes)
+    return pages.select(*carried, html_col).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + f", {_DDL}")

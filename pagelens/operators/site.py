@@ -12,15 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import classify, html, text, urls
+from pagelens.functions import facts as facts_functions
 from pagelens.functions import vocab as V
+from pagelens.operators import facts, names, parse
+from pagelens.session import stored
 
 IMPORTANT = 0.5
 LISTED = 25
 _HIDDEN = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("head", "script", "style", "noscript", "template", "svg", "canvas"))
 #: What no visitor reads: hidden elements, comments, tags and character references.
 INVISIBLE = [rf"(?is){_HIDDEN}|<!--.*?-->", r"(?s)<[^>]*>", r"&[A-Za-z0-9#]+;"]
-_TYPED = r"(?i)\"@type\"\s*:\s*\"({})\""
-ORGANISATION, PRODUCT = _TYPED.format("|".join(V.ORGANISATION_TYPES)), _TYPED.format("|".join(V.PRODUCT_TYPES))
 
 
 def visible_text(page: Column) -> Column:
@@ -28,29 +29,43 @@ def visible_text(page: Column) -> Column:
 
 
 def page_columns(pages: DataFrame) -> DataFrame:
-    """What each page's HTML and address say by themselves. A null page is an empty one."""
-    page, url = F.coalesce(F.col("html"), F.lit("")), F.col("url")
-    n = lambda p: F.regexp_count(page, F.lit(p)).cast("long")
-    return pages.select(
-        "page_id", "site", "url", "status", "is_home", "in_sitemap",
-        html.title(page).alias("title"),
-        F.lower(F.regexp_replace(F.regexp_extract(page, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]*>", " ")).alias("h1"),
-        n(r"(?i)<h1[\s>]").alias("h1_total"),
-        n(r"(?i)<img[\s>]").alias("images"),
-        F.greatest(n(r"(?i)<img[\s>]") - n(r"(?i)<img[^>]*\salt=[\"'][^\"']*[^\"'\s]"), F.lit(0)).alias("images_without_alt"),
-        html.flags(page)["has_html"].alias("has_html"),
-        html.flags(page)["has_head"].alias("has_head"),
-        html.flags(page)["has_nav"].alias("has_nav"),
-        page.rlike(r"(?i)<meta[^>]*(name=[\"']description[\"']|property=[\"']og:description[\"'])").alias("described"),
-        page.rlike(r"(?i)<meta[^>]*name=[\"']robots[\"'][^>]*noindex").alias("noindex"),
-        page.rlike(ORGANISATION).alias("names_organisation"),
-        page.rlike(PRODUCT).alias("names_product"),
-        text.word_count(visible_text(page)).cast("long").alias("words"),
-        urls.path_depth(url).alias("depth"),
-        urls.path_shape(url).alias("shape"),
+    """What each page's HTML and address say by themselves: one pass of the parser, no text kept. A null page is an empty one; other columns of ``pages`` stay."""
+    c = F.col
+    page = F.coalesce(c("html"), F.lit(""))
+    flags = html.flags(page)
+    own = [x for x in pages.columns if x not in ("html", "has_html", "has_head")]
+    rows = pages.withColumns({"has_html": flags["has_html"], "has_head": flags["has_head"]})
+    rows = parse.parsed_pages(rows, keep=[*own, "has_html", "has_head"])
+    kinds = F.transform(F.concat("jsonld_types", "microdata_types"), F.lower)
+    listed = lambda words: F.arrays_overlap(kinds, classify._list(words))
+    return rows.select(
+        *own, "has_html", "has_head", "title", "lang", "has_nav", "words", "images", "images_without_alt", "ctas", "jsonld_errors", "defects", "canonical", "primary_name", "internal_links", "nav_links",
+        F.lower(F.array_join("h1", " ")).alias("h1"),
+        F.size("h1").cast("long").alias("h1_total"),
+        F.get("h1", F.lit(0)).alias("first_h1"),
+        F.forall("h1", lambda x: F.size(F.split(F.trim(x), r"\s+")) <= 2).alias("h1_short"),
+        ((c("description") != "") | (F.coalesce(c("og")["description"], F.lit("")) != "")).alias("described"),
+        (c("description") != "").alias("has_description"),
+        F.contains("robots", F.lit("noindex")).alias("noindex"),
+        listed(V.ORGANISATION_TYPES).alias("names_organisation"),
+        listed(V.PRODUCT_TYPES).alias("names_product"),
+        (F.size("header_links") >= 2).alias("header_cluster"),
+        (F.size("footer_links") >= 2).alias("footer_cluster"),
+        F.left(c("text"), F.lit(400)).rlike(text.OFFER).alias("offers"),
+        text.latest_year(c("dates")).alias("year"),
+        *facts.fact_columns(c("site") if "site" in own else F.lit("")),
+        urls.path_depth(c("url")).alias("depth"),
+        urls.path_shape(c("url")).alias("shape"),
     )
 
 
+def link_edges(rows: DataFrame) -> DataFrame:
+    """(src, dst, is_nav): links between pages of the table, by address, from the rows of ``page_columns``. Of pages that share an address the least id is linked."""
+    aims = rows.filter("url is not null").groupBy(F.col("url").alias("__aim")).agg(F.min("page_id").alias("dst"))
+    links = rows.select(F.col("page_id").alias("src"), F.explode("internal_links").alias("__aim"), "nav_links").withColumn("is_nav", F.array_contains("nav_links", F.col("__aim")))
+    return links.join(aims, "__aim").groupBy("src", "dst").agg(F.max("is_nav").alias("is_nav"))
+
+
 def link_counts(edges: DataFrame) -> DataFrame:
     """(page_id, incoming, in_nav): pages that link to it, itself left out, and whether navigation does."""
     return edges.filter("src <> dst").groupBy(F.col("dst").alias("page_id")).agg(F.count_distinct("src").alias("incoming"), F.max("is_nav").alias("in_nav"))
@@ -60,11 +75,23 @@ def out_counts(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").groupBy(F.col("src").alias("page_id")).agg(F.count_distinct("dst").alias("out_links"))
 
 
-def page_evidence(pages: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every page with its links, role, kind and importance. What is no page has the role ``non_page`` and no importance. A null address or site has no siblings."""
+def page_evidence(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Every page with its links, role, kind and importance. What is no page has the role ``non_page`` and no importance. A null address or site has no siblings.
+
+    edges: (src, dst, is_nav) by page id; without them the pages' own links count, those to pages outside the table as outgoing ones too."""
+    columns = page_columns(pages)
+    linked = edges is None
+    if linked:
+        columns = stored(columns)
+        edges = link_edges(columns)
+    # The status of the page that an address is canonical for, if it was fetched: the greatest, where it was more than once.
+    known = pages.filter("url is not null").groupBy(F.col("url").alias("canonical")).agg(F.max("status").alias("canonical_status"))
     # Counted before they meet the pages, and joined: run-time skew splitting divides the pages of a hot shape, which a window would hold in one task.
     shapes = pages.select("site", urls.path_shape(F.col("url")).alias("shape")).groupBy("site", "shape").agg((F.count("*") - 1).alias("siblings"))
-    rows = page_columns(pages).join(shapes, ["site", "shape"], "left").join(link_counts(edges), "page_id", "left").join(out_counts(edges), "page_id", "left")
+    rows = columns.join(shapes, ["site", "shape"], "left").join(link_counts(edges), "page_id", "left")
+    rows = rows.withColumn("out_links", F.size(F.array_remove("internal_links", F.col("url"))).cast("long")) if linked else rows.join(out_counts(edges), "page_id", "left")
+    rows = rows.drop("internal_links", "nav_links")
+    rows = rows.join(known, "canonical", "left")
     rows = rows.fillna({"incoming": 0, "out_links": 0, "in_nav": False, "siblings": 0})
     kind, sure = classify.resource_kind(F.col("url"), F.lit("text/html"), F.col("status"), F.col("has_html"), F.col("has_head"), F.col("title") != "", F.col("words"), F.col("out_links"), F.col("siblings"))
     rows = rows.withColumn("kind", kind).withColumn("kind_confidence", sure).withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(False)))
@@ -106,23 +133,24 @@ def repeated_links(evidence: DataFrame, edges: DataFrame) -> DataFrame:
 def navigation(evidence: DataFrame, edges: DataFrame) -> DataFrame:
     """(site, pages, landmark_share, repeated, median_links, home_links, strength) over the sites' HTML pages.
 
-    Regions of a page are not told apart here, so no cluster of header or footer links counts."""
+    Header or footer links cluster where half of the pages have two or more of them."""
     pages = evidence.filter("is_html")
-    totals = pages.groupBy("site").agg(F.count("*").alias("pages"), classify.rounded(F.avg(F.col("has_nav").cast("int")), 3).alias("landmark_share"), F.coalesce(F.max(F.when(F.col("is_home"), F.col("out_links"))), F.lit(0)).alias("home_links"))
+    totals = pages.groupBy("site").agg(F.count("*").alias("pages"), classify.rounded(F.avg(F.col("has_nav").cast("int")), 3).alias("landmark_share"), F.coalesce(F.max(F.when(F.col("is_home"), F.col("out_links"))), F.lit(0)).alias("home_links"), *([F.greatest(F.avg(F.col("header_cluster").cast("int")), F.avg(F.col("footer_cluster").cast("int"))).alias("cluster_share")] if "header_cluster" in pages.columns else [F.lit(0.0).alias("cluster_share")]))
     repeated = repeated_links(pages, edges).groupBy("site").agg(F.count("*").alias("repeated"))
     rows = totals.join(repeated, "site", "left").join(lower_median(pages, "site", "out_links").withColumnRenamed("median", "median_links"), "site", "left").fillna({"repeated": 0, "median_links": 0})
-    landmark, many = F.col("landmark_share") >= 0.5, F.col("repeated") >= 3
+    landmark, many, cluster = F.col("landmark_share") >= 0.5, F.col("repeated") >= 3, F.col("cluster_share") >= 0.5
     few = F.when(landmark | (F.col("home_links") >= 4), "probable").when(F.col("home_links") >= 1, "weak").otherwise("absent")
-    enough = F.when(landmark & many, "strong").when(landmark | many, "probable").when((F.col("median_links") >= 2) | (F.col("home_links") >= 4), "weak").otherwise("absent")
-    return rows.withColumn("strength", F.when(F.col("pages") < 3, few).otherwise(enough))
+    enough = F.when((landmark & (many | cluster)) | (many & cluster), "strong").when(landmark | many | cluster, "probable").when((F.col("median_links") >= 2) | (F.col("home_links") >= 4), "weak").otherwise("absent")
+    return rows.withColumn("strength", F.when(F.col("pages") < 3, few).otherwise(enough)).drop("cluster_share")
 
 
 # --- findings -------------------------------------------------------------------------------------------------------------
 
 
-def _page_checks() -> dict[str, Column]:
-    """For each check the pages it is about."""
+def _page_checks(has: set[str]) -> dict[str, Column]:
+    """For each check the pages it is about. A page that depends on scripts is not thin."""
     c = F.col
+    scripted = F.coalesce(c("script_dependent"), F.lit(False)) if "script_dependent" in has else F.lit(False)
     important, deep_role = c("importance") >= IMPORTANT, c("role") != "home"
     seen = c("is_html") & important
     return {
@@ -131,7 +159,7 @@ def _page_checks() -> dict[str, Column]:
         "noindex_on_important_page": c("noindex") & important,
         "important_page_deep": important & deep_role & (c("depth") >= 3),
         "important_page_orphaned": important & deep_role & (c("incoming") == 0) & c("ok"),
-        "thin_important_page": seen & (c("words") < 80) & (c("out_links") < 6) & ~c("role").isin("contact", "legal"),
+        "thin_important_page": seen & (c("words") < 80) & (c("out_links") < 6) & ~c("role").isin("contact", "legal") & ~scripted,
         "missing_h1": seen & (c("h1_total") == 0),
         "missing_meta_description": seen & ~c("described"),
         "missing_product_structured_data": c("is_html") & (c("role") == "products") & ~c("names_product"),
@@ -145,6 +173,7 @@ def _wider_checks() -> dict[str, tuple[list[str], Column]]:
     """Checks over columns that only a crawl, a renderer or the parser gives: (the columns, the pages they are about)."""
     c = F.col
     important = c("importance") >= IMPORTANT
+    seen = c("is_html") & important
     said = lambda name: F.size(F.coalesce(c(name), F.array().cast("array<string>")))
     astray = ~urls.same_site(urls.registrable_host(urls.host(c("canonical"))), c("site")) | ~F.coalesce(c("canonical_status").between(200, 299), F.lit(True))
     return {
@@ -155,13 +184,17 @@ def _wider_checks() -> dict[str, tuple[list[str], Column]]:
         "canonical_conflict": (["canonical", "canonical_status"], c("is_html") & important & (c("canonical") != c("url")) & astray),
         "invalid_structured_data": (["jsonld_errors"], said("jsonld_errors") > 0),
         "incomplete_structured_data": (["defects"], c("is_html") & (said("defects") > 0)),
-        "no_next_step": (["ctas"], important & c("role").isin(NEXT_ROLES) & (said("ctas") == 0) & (c("out_links") <= 3)),
+        "structured_visible_mismatch": (["name_likeness"], c("is_html") & (c("name_likeness") < names.ALIKE)),
+        # Calls are told by English words; on sites in another language only the links count, and fewer of them.
+        "no_next_step": (["ctas", "site_lang"], seen & c("role").isin(NEXT_ROLES) & F.when(c("site_lang").isin(ENGLISH), (said("ctas") == 0) & (c("out_links") <= 3)).otherwise(c("out_links") <= 1)),
     }
 
 
+# Primary languages to which checks of wording apply: English, or none declared.
+ENGLISH = ["", "en"]
 # Roles whose pages should lead on.
 NEXT_ROLES = ["home", "products", "services", "pricing", "about"]
-#: check: (pages it is measured against, least number of hits, least share of them, least size of the base)
+# Check: (pages it is measured against, least number of hits, least share of them, least size of the base)
 TRIGGERS = {
     "sitemap_missing_important_pages": ("important", 2, 0.0, 0),
     "important_page_http_error": ("pages", 1, 0.0, 0),
@@ -182,10 +215,13 @@ TRIGGERS = {
     "canonical_conflict": ("important", 1, 0.0, 0),
     "invalid_structured_data": ("pages", 1, 0.0, 0),
     "incomplete_structured_data": ("html", 1, 0.0, 0),
+    "structured_visible_mismatch": ("html", 1, 0.0, 0),
     "no_next_step": ("leading", 1, 0.0, 0),
 }
 #: Checks that concern important pages only if one is hit, and those that never do.
 IF_HIT, NEVER = ["important_page_http_error", "js_dependent_content"], ["redirect_chain"]
+#: Checks that weigh two sources against each other.
+TWO_SOURCES = ["structured_visible_mismatch"]
 #: Checks whose evidence is weaker without a rendered page.
 UNRENDERED = ["thin_important_page", "facts_in_images"]
 ENGAGEMENT = ["home_purpose_unclear", "page_identity_unclear", "missing_nav_landmark", "weak_navigation", "no_next_step", "context_loss_orphan"]
@@ -198,13 +234,13 @@ def findings(evidence: DataFrame) -> DataFrame:
     Checks whose columns the evidence lacks are left out; a null in such a column says nothing against its page."""
     c = F.col
     has = set(evidence.columns)
-    checks = _page_checks() | {name: cond for name, (need, cond) in _wider_checks().items() if has.issuperset(need)}
+    checks = _page_checks(has) | {name: cond for name, (need, cond) in _wider_checks().items() if has.issuperset(need)}
     totals = evidence.groupBy("site").agg(
         F.count("*").alias("pages"), F.count_if(c("importance") >= IMPORTANT).alias("important"), F.count_if("is_html").alias("html"),
         F.count_if(c("is_html") & (c("role") == "products")).alias("products"), F.count_if(c("is_html") & (c("role") != "home")).alias("inner"),
         F.count_if(c("is_html") & c("names_organisation")).alias("organisations"), F.max("in_sitemap").alias("sitemap"),
         (F.count_if("rendered") if "rendered" in has else F.lit(0).cast("long")).alias("rendered"),
-        F.count_if((c("importance") >= IMPORTANT) & c("role").isin(NEXT_ROLES)).alias("leading"),
+        F.count_if(c("is_html") & (c("importance") >= IMPORTANT) & c("role").isin(NEXT_ROLES)).alias("leading"),
     )
     hit = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks.items()]))
     hits = evidence.select("site", "url", "importance", "depth", F.explode(hit).alias("check"))
@@ -230,7 +266,8 @@ def judged(rows: DataFrame) -> DataFrame:
     forced = c("forced") if "forced" in rows.columns else None
     rows = rows.withColumn("severity", classify.severity(c("check"), c("reach"), c("hits_important"), forced)).drop("forced")
     rows = rows.withColumn("reach", classify.rounded(c("reach"), 3))
-    rows = rows.withColumn("confidence", classify.confidence(c("sample"), c("affected"), F.lit(True), c("check").isin(UNRENDERED), F.lit(1)))
+    rows = rows.withColumn("confidence", classify.confidence(c("sample"), c("affected"), F.lit(True), c("conflict") if "conflict" in rows.columns else c("check").isin(UNRENDERED), c("sources") if "sources" in rows.columns else F.when(c("check").isin(TWO_SOURCES), 2).otherwise(1)))
+    rows = rows.drop("conflict", "sources")
     band, score = classify.priority(c("severity"), c("check"), c("reach"), c("confidence"))
     dimension = F.when(c("check").isin(ENGAGEMENT), "engagement").otherwise(F.coalesce(classify._map(DIMENSION)[c("check")], F.lit("discoverability")))
     ordinal = F.array_position(classify._list([n for n, *_ in V.CHECKS]), c("check")).cast("int")
@@ -242,10 +279,11 @@ ANSWERED = ["ok", "external_redirect", "private_redirect", "robots_blocked"]
 ASTRAY = ["redirect_loop", "redirect_limit", "bad_location"]
 
 
-def _raised(rows: DataFrame, check: Column, reach: Column, important: Column, forced: Column, affected: Column | None = None, sample: Column | None = None) -> DataFrame:
+def _raised(rows: DataFrame, check: Column, reach: Column, important: Column, forced: Column, affected: Column | None = None, sample: Column | None = None, listed: Column | None = None, keep: list[str] | None = None) -> DataFrame:
     one = F.lit(1).cast("long")
     named = rows.withColumn("check", check).filter("check is not null")
-    return named.select("site", "check", F.array().cast("array<string>").alias("urls"), (one if affected is None else affected).alias("affected"), (one if sample is None else sample).alias("sample"), reach.alias("reach"), important.alias("hits_important"), forced.cast("string").alias("forced"))
+    addresses = F.array().cast("array<string>") if listed is None else listed
+    return named.select("site", "check", *(keep or []), addresses.alias("urls"), (one if affected is None else affected).alias("affected"), (one if sample is None else sample).alias("sample"), reach.alias("reach"), important.alias("hits_important"), forced.cast("string").alias("forced"))
 
 
 def home_findings(sites: DataFrame) -> DataFrame:
@@ -281,6 +319,93 @@ def navigation_findings(strengths: DataFrame) -> DataFrame:
     return judged(marked.unionByName(weak))
 
 
+def site_languages(evidence: DataFrame) -> DataFrame:
+    """(site, site_lang): the most frequent primary subtag of a site's pages, the least one on a tie; empty where none is declared."""
+    lang = F.lower(F.substring_index("lang", "-", 1))
+    n = evidence.select("site", lang.alias("lang")).groupBy("site", "lang").agg(F.count("*").alias("n"))
+    best = n.groupBy("site").agg(F.min_by("lang", F.when(F.col("lang") != "", F.struct(-F.col("n"), "lang"))).alias("site_lang"))
+    return best.select("site", F.coalesce("site_lang", F.lit("")).alias("site_lang"))
+
+
+def judged_evidence(evidence: DataFrame) -> DataFrame:
+    """``evidence`` with its site's language and, where a page has both, how like its stated name and its heading are."""
+    a, b = (facts_functions.normalize_org_name(F.coalesce(x, F.lit(""))) for x in ("primary_name", "first_h1"))
+    both = (a != "") & (b != "")
+    rows = evidence.withColumn("name_likeness", F.when(both, names.name_similarity(F.when(both, a), F.when(both, b))))
+    return rows.join(site_languages(evidence), "site", "left")
+
+
+def home_purpose(evidence: DataFrame) -> DataFrame:
+    """Sites whose home page, in order, fails two of: a telling title, a telling heading, a word of what is offered. rows: from ``judged_evidence``."""
+    c = F.col
+    english = F.coalesce(c("site_lang"), F.lit("")).isin(ENGLISH)
+    title = (c("title") == "") | (english & text.generic_title(c("title")))
+    heading = (c("h1_total") == 0) | (english & c("h1_short"))
+    offer = english & ~c("offers") & ~c("has_description")
+    faults = title.cast("int") + heading.cast("int") + offer.cast("int")
+    homes = evidence.filter(c("is_home") & c("ok")).filter(faults >= 2).groupBy("site").agg(F.min("url").alias("url"))
+    none = F.lit(None)
+    return judged(_raised(homes, F.lit("home_purpose_unclear"), F.lit(1.0), F.lit(True), none, listed=F.array("url")))
+
+
+def sitemap_findings(evidence: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Sites whose sitemap lists pages that answer with an error. sizes: (site, sitemap_size: addresses listed), else the listed pages count."""
+    c = F.col
+    broken = c("in_sitemap") & (c("status").isin(404, 410) | (c("status") >= 500))
+    order = Window.partitionBy("site").orderBy(F.desc("importance"), "depth", "url")
+    listed = evidence.filter(broken).withColumn("place", F.row_number().over(order)).filter(c("place") <= 20).groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x.url).alias("addresses"))
+    rows = evidence.groupBy("site").agg(F.least(F.count_if(broken), F.lit(20)).alias("broken"), F.count_if("in_sitemap").alias("known")).filter("broken > 0").join(listed, "site")
+    size = c("known")
+    if sizes is not None:
+        rows = rows.join(sizes, "site", "left")
+        size = F.coalesce(c("sitemap_size"), c("known"))
+    size = F.greatest(size, F.lit(1))
+    return judged(_raised(rows, F.lit("sitemap_broken_urls"), F.least(F.lit(1.0), 5 * c("broken") / size), F.lit(False), F.lit(None), c("broken"), size, listed=c("addresses")))
+
+
+def fact_findings(evidence: DataFrame, found: DataFrame, as_of_year: int) -> DataFrame:
+    """Findings over facts: unlike names, contacts that contradict each other, no profile beside a stated organisation, and old dates.
+
+    evidence: of pages; found: the rows of ``facts.page_facts``."""
+    c = F.col
+    html_pages = evidence.filter("is_html").groupBy("site").agg(F.count("*").alias("html"), F.count_if("names_organisation").alias("stated"))
+    size = F.greatest(F.coalesce(c("html"), F.lit(0)), F.lit(1))
+    raise_ = lambda rows, check, reach, important, affected, sample, conflict, sources, addresses: judged(
+        _raised(rows.withColumns({"conflict": conflict, "sources": sources}), F.lit(check), reach, important, F.lit(None), affected, sample, listed=addresses, keep=["conflict", "sources"])
+    )
+    none = F.array().cast("array<string>")
+    named = names.name_findings(found).join(html_pages, "site", "left")
+    one = raise_(named, "entity_name_conflict", F.least(F.lit(1.0), c("pages") / size), F.lit(True), c("pages"), size, ~F.array_contains("kinds", "jsonld"), F.size("kinds"), c("addresses"))
+    contacts = names.contact_conflicts(found.filter(c("kind").isin("phone", "email")), value="normalized").withColumnsRenamed({"stated": "in_blocks", "shown": "on_pages"}).join(html_pages, "site", "left")
+    two = raise_(contacts.select("site", "html", F.size(F.array_union("in_blocks", "on_pages")).cast("long").alias("n")), "contact_fact_conflict", F.lit(0.4), F.lit(True), c("n"), size, F.lit(False), F.lit(2), none)
+    profiles = found.filter("kind = 'social'").select("site").distinct()
+    bare = html_pages.filter("stated > 0 and html >= 4").join(profiles, "site", "left_anti")
+    three = raise_(bare, "no_corroborating_entity_links", F.lit(0.4), F.lit(False), F.lit(1).cast("long"), c("html"), F.lit(False), F.lit(1), none)
+    dated = names.freshness(evidence.filter("is_html"), as_of_year).filter("at_risk")
+    four = raise_(dated, "freshness_risk", c("stale") / c("dated"), F.lit(True), c("stale"), c("dated"), F.lit(True), F.lit(1), none)
+    return one.unionByName(two).unionByName(three).unionByName(four)
+
+
+#: Checks of the stage that ends where a site cannot be entered as it should.
+ENTRY_CHECKS = ["important_page_robots_blocked", "ai_crawler_blocked", "sitemap_missing", "sitemap_broken_urls", "sitemap_missing_important_pages", "important_page_http_error", "redirect_chain"]
+
+
+def audit(evidence: DataFrame, edges: DataFrame, as_of_year: int, homes: DataFrame | None = None, agents: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Every finding of every site, before merging: page checks, home outcomes, agents, navigation, sitemaps, facts and dates.
+
+    evidence: written once (``stored``), as it is read many times. homes: (site, blocks_site, home_outcome); agents: rows of
+    ``robots.ai_agents``. Where the home page shuts visitors out, the other checks of entering the site are not reported."""
+    wide = judged_evidence(evidence)
+    rows = findings(wide).unionByName(home_purpose(wide)).unionByName(sitemap_findings(evidence, sizes)).unionByName(navigation_findings(navigation(evidence, edges))).unionByName(fact_findings(evidence, facts.page_facts(evidence), as_of_year))
+    if agents is not None:
+        rows = rows.unionByName(agent_findings(agents))
+    if homes is not None:
+        shut = home_findings(homes)
+        kept = rows.join(shut.select("site").distinct().withColumn("__shut", F.lit(True)), "site", "left")
+        rows = kept.filter(F.col("__shut").isNull() | ~F.col("check").isin(ENTRY_CHECKS)).drop("__shut").unionByName(shut)
+    return stored(rows)
+
+
 def merged(found: DataFrame) -> DataFrame:
     """Deep and orphaned pages of one first address are one finding: the earlier check's, with the greater severity, reach and confidence."""
     c = F.col
@@ -303,12 +428,15 @@ def ranked(found: DataFrame) -> DataFrame:
 
 
 def scores(found: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(site, dimension, score) and the overall score of each site; null where no page could be judged."""
+    """(site, dimension, score) and the overall score of each site; null where there was nothing to judge: no page, or for
+    consistency no name, telephone or address, or for freshness no date."""
     c = F.col
     lost = merged(found).groupBy("site", "dimension").agg(F.sum(F.round(classify.penalty(c("severity"), c("reach"), c("confidence")), 6).cast("decimal(20,6)")).alias("lost"))
-    judged = evidence.groupBy("site").agg((F.count_if("is_html") >= 1).alias("judged"))
-    names = ["discoverability", "content_accessibility", "entity_clarity", "engagement"]
-    grid = judged.select("site", "judged", F.explode(classify._list(names)).alias("dimension"))
+    page, has = F.count_if("is_html") >= 1, set(evidence.columns)
+    known = F.coalesce(F.max(facts.has_fact(["organization_name", "phone", "email"])), F.lit(False)) if "facts" in has else F.lit(False)
+    dated = (F.count_if(c("is_html") & c("year").isNotNull()) >= 1) if "year" in has else F.lit(False)
+    judged = evidence.groupBy("site").agg(page.alias("page"), known.alias("known"), dated.alias("dated"))
+    grid = judged.select("site", F.explode(F.create_map(*[x for name in V.DIMENSION_WEIGHT for x in (F.lit(name), c({"fact_consistency": "known", "freshness": "dated"}.get(name, "page")))])).alias("dimension", "judged"))
     one = grid.join(lost, ["site", "dimension"], "left").withColumn("score", F.when(c("judged"), F.bround(F.greatest(F.lit(0.0), F.lit(100.0) - F.coalesce(c("lost").cast("double"), F.lit(0.0))), 0).cast("int")))
     weight = classify._map(V.DIMENSION_WEIGHT)[c("dimension")]
     overall = one.groupBy("site").agg(F.bround(F.round(F.sum(weight * c("score")) / F.sum(F.when(c("score").isNotNull(), weight)), 6), 0).cast("int").alias("score")).select("site", F.lit("overall").alias("dimension"), "score")

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import classify, facts, text
 from pagelens.functions import vocab as V
+from pagelens.operators import facts as F_
 from pagelens.operators import names, parse, robots
 from pagelens.operators import site as S
 from pagelens.plans.catalog import _TITLE
-from pagelens.session import table
+from pagelens.session import stored, table
 
 SITES = 8
 PATHS = ["", "about", "contact", "pricing", "products/a", "services", "faq", "blog", "privacy", "jobs", "login", "misc/x"]
@@ -48,8 +49,18 @@ def derived_links(spark, d) -> DataFrame:
     return links.filter("src <> dst").distinct().join(ids, F.col("dst") == F.col("page_id"), "left_semi")
 
 
+#: What the checks with SQL look at. The wider evidence raises more checks than SQL can follow.
+PLAIN = """page_id site url status is_home in_sitemap has_html has_head title h1 h1_total images images_without_alt has_nav described noindex names_organisation names_product words depth shape
+ siblings incoming in_nav out_links kind kind_confidence ok role importance is_html facts text_facts year""".split()
+
+
+def whole_evidence(spark, d) -> DataFrame:
+    """Every page's evidence, written once: the HTML is read and parsed in one pass, whatever is asked of it."""
+    return stored(S.page_evidence(derived_pages(spark, d), derived_links(spark, d)))
+
+
 def evidence(spark, d) -> DataFrame:
-    return S.page_evidence(derived_pages(spark, d), derived_links(spark, d))
+    return whole_evidence(spark, d).select(*PLAIN)
 
 
 def page_text_words(spark, d):
@@ -90,12 +101,31 @@ def site_findings(spark, d):
 
 
 def findings_ranked(spark, d):
-    return S.ranked(S.findings(evidence(spark, d))).select("site", "finding_id", F.col("check").alias("check_id"), "severity", "priority", "priority_score", "affected", F.size("urls").alias("listed"))
+    return S.ranked(stored(S.findings(evidence(spark, d)))).select("site", "finding_id", F.col("check").alias("check_id"), "severity", "priority", "priority_score", "affected", F.size("urls").alias("listed"))
 
 
 def dimension_scores(spark, d):
     pages = evidence(spark, d)
-    return S.scores(S.findings(pages), pages)
+    return S.scores(stored(S.findings(pages)), pages)
+
+
+def _audit(spark, d):
+    pages = whole_evidence(spark, d)
+    return pages, S.audit(pages, derived_links(spark, d), 2026)
+
+
+def audit_findings(spark, d):
+    """All findings of all kinds, merged and in order."""
+    return S.ranked(_audit(spark, d)[1]).select("site", "finding_id", F.col("check").alias("check_id"), "dimension", "severity", "reach", "confidence", "priority", "priority_score", "affected")
+
+
+def audit_scores(spark, d):
+    pages, found = _audit(spark, d)
+    return S.scores(found, pages)
+
+
+def page_facts(spark, d):
+    return F_.page_facts(whole_evidence(spark, d)).select("page_id", "seq", "kind", "value", "normalized", "source")
 
 
 def canonical_to_broken(spark, d):
@@ -189,7 +219,7 @@ def ai_agent_rules(spark, d):
     return robots.ai_agents(_robots(spark, d)).select("site", "agent", "blocked", F.array_join("paths", " ").alias("paths"))
 
 
-QUERIES = {f.__name__: f for f in (freshness_risk, contact_conflicts, robots_blocks, ai_agent_rules, parsed_pages, page_text_words, link_indegree, page_role, resource_kind, role_histogram, sitemap_coverage, repeated_links, navigation_strength, site_findings, findings_ranked, dimension_scores, canonical_to_broken, org_names, name_prefixes, title_brands, social_links, severity_matrix, script_dependence, language_mode)}
+QUERIES = {f.__name__: f for f in (freshness_risk, contact_conflicts, robots_blocks, ai_agent_rules, parsed_pages, page_text_words, link_indegree, page_role, resource_kind, role_histogram, sitemap_coverage, repeated_links, navigation_strength, site_findings, findings_ranked, dimension_scores, audit_findings, audit_scores, page_facts, canonical_to_broken, org_names, name_prefixes, title_brands, social_links, severity_matrix, script_dependence, language_mode)}
 
 # --- the SQL --------------------------------------------------------------------------------------------------------------
 
@@ -199,6 +229,7 @@ _case = lambda of, values, other: f"CASE {of} " + " ".join(f"WHEN '{k}' THEN {v}
 _VISIBLE = reduce(lambda c, p: f"regexp_replace({c}, '{p}', ' ', 'g')", S.INVISIBLE, "coalesce(html, '')")
 _WORDS = f"len(regexp_extract_all({_VISIBLE}, '{text.WORD.replace(chr(39), chr(39) * 2)}'))::BIGINT"
 _N = lambda p: f"len(regexp_extract_all(html, '{p}'))"
+_typed = lambda kinds: rf'(?i)"@type"\s*:\s*"({"|".join(kinds)})"'
 
 _r = lambda x, n: f"round_even(({x})::DOUBLE * 1e{n}, 0) / 1e{n}"
 
@@ -213,7 +244,7 @@ said AS (SELECT *, {_TITLE} AS title, lower(regexp_replace(regexp_extract(html,
  {_N(r'(?i)<h1[\s>]')} AS h1_total, {_N(r'(?i)<img[\s>]')} AS images, greatest({_N(r'(?i)<img[\s>]')} - {_N(r'(?i)<img[^>]*\salt=["' + chr(39) * 2 + r'][^"' + chr(39) * 2 + r']*[^"' + chr(39) * 2 + r'\s]')}, 0) AS images_without_alt,
  regexp_matches(left(html, 4096), '(?i)<html[\s>]') AS has_html, regexp_matches(left(html, 8192), '(?i)<head[\s>]') AS has_head, regexp_matches(html, '(?i)<nav[\s>]|role=["'']navigation["'']') AS has_nav,
  regexp_matches(html, '(?i)<meta[^>]*(name=["'']description["'']|property=["'']og:description["''])') AS described, regexp_matches(html, '(?i)<meta[^>]*name=["'']robots["''][^>]*noindex') AS noindex,
- regexp_matches(html, '{S.ORGANISATION}') AS names_organisation, regexp_matches(html, '{S.PRODUCT}') AS names_product, {_WORDS} AS words, regexp_extract(url, '^https://[^/]*/(.*)$', 1) AS path FROM pages0),
+ regexp_matches(html, '{_typed(V.ORGANISATION_TYPES)}') AS names_organisation, regexp_matches(html, '{_typed(V.PRODUCT_TYPES)}') AS names_product, {_WORDS} AS words, regexp_extract(url, '^https://[^/]*/(.*)$', 1) AS path FROM pages0),
 cut AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments, list_concat(list_filter(string_split(path, '/'), lambda x: x <> ''), list_filter(regexp_split_to_array(path, '[/\-_.]+'), lambda x: x <> '')) AS tokens FROM said),
 inc AS (SELECT dst, count(DISTINCT src) AS incoming, bool_or(is_nav) AS in_nav FROM links GROUP BY dst),
 outs AS (SELECT src, count(DISTINCT dst) AS out_links FROM links GROUP BY src),
@@ -311,8 +342,8 @@ ORACLES = {
     "site_findings": f'WITH {_FINDINGS} SELECT site, "check" AS check_id, affected, sample, reach, severity, confidence, priority, priority_score, dimension, urls FROM found',
     "findings_ranked": f"""WITH {_RANKED}, {_FINAL} SELECT site, printf('F-%03d', row_number() OVER (PARTITION BY site ORDER BY rank DESC, priority_score DESC, ordinal, scope)) AS finding_id, "check" AS check_id, severity, {_BAND} AS priority, priority_score, affected, listed FROM final""",
     "dimension_scores": f"""WITH {_RANKED}, lost AS (SELECT site, dimension, sum(round({_case('severity', V.PENALTY, 10.0)}::DOUBLE * (0.4 + 0.6 * greatest(0.1, least(CASE WHEN reach = 0 THEN 0.3 ELSE reach END, 1))) * confidence, 6)::DECIMAL(18, 6)) AS lost FROM named GROUP BY site, dimension),
- judged AS (SELECT site, bool_or(is_html) AS judged FROM evidence GROUP BY site), grid AS (SELECT site, judged, unnest(['discoverability', 'content_accessibility', 'entity_clarity', 'engagement']) AS dimension FROM judged),
- scored AS (SELECT g.site, g.dimension, CASE WHEN judged THEN round_even(greatest(0, 100 - coalesce(lost, 0)::DOUBLE), 0)::INTEGER END AS score FROM grid g LEFT JOIN lost l ON l.site = g.site AND l.dimension = g.dimension)
+ judged AS (SELECT site, bool_or(is_html) AS page, bool_or(regexp_matches(html, '(?i)<footer>&copy; [a-z0-9]')) AS known, bool_or(is_html AND regexp_matches({_VISIBLE}, '\\b(19[89][0-9]|20[0-4][0-9])\\b')) AS dated FROM evidence GROUP BY site), grid AS (SELECT site, page, known, dated, unnest({_of(V.DIMENSION_WEIGHT)}) AS dimension FROM judged),
+ scored AS (SELECT g.site, g.dimension, CASE WHEN CASE g.dimension WHEN 'fact_consistency' THEN known WHEN 'freshness' THEN dated ELSE page END THEN round_even(greatest(0, 100 - coalesce(lost, 0)::DOUBLE), 0)::INTEGER END AS score FROM grid g LEFT JOIN lost l ON l.site = g.site AND l.dimension = g.dimension)
  SELECT * FROM scored UNION ALL SELECT site, 'overall', round_even(round(sum({_case('dimension', V.DIMENSION_WEIGHT, 0)}::DOUBLE * score) / sum({_case('dimension', V.DIMENSION_WEIGHT, 0)}::DOUBLE) FILTER (score IS NOT NULL), 6), 0)::INTEGER FROM scored GROUP BY site""",
     "canonical_to_broken": f"WITH {_PAGES} SELECT a.page_id, b.page_id AS canonical_id, b.status AS canonical_status FROM pages0 a JOIN pages0 b ON b.page_id = a.page_id + {SITES} WHERE b.status >= 300",
     "org_names": f"SELECT s_suppkey, {_ORG('s_name')} || ' technologies pvt' AS plain, {_ORG('s_name')} AS short FROM supplier",

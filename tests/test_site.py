@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagelens.functions import classify, resolve, text
+from pagelens.functions import classify, html, resolve, text
 from pagelens.operators import names, parse, robots, site
 from pagelens.plans import site_catalog
 from pagelens.sources import tables as sources
@@ -29,8 +29,10 @@ def test_parsed_page(spark):
 
 
 def test_parser_agrees_with_the_native_columns(spark):
-    rows = site_catalog.derived_pages(spark, SF)
-    native = site.page_columns(rows).select("page_id", "title", "h1_total", "images", "has_nav", "words")
+    rows, page = site_catalog.derived_pages(spark, SF), F.col("html")
+    n = html.counts(page)
+    native = rows.select("page_id", html.title(page).alias("title"), n["h1_total"], n["images_total"].alias("images"), html.flags(page)["has_nav"].alias("has_nav"), text.word_count(site.visible_text(page)).alias("words"))
+    native = native.toDF("page_id", "title", "h1_total", "images", "has_nav", "words")
     both = native.join(parse.parsed_pages(rows).select("page_id", F.col("title").alias("t"), F.size("h1").alias("h"), F.col("images").alias("i"), F.col("has_nav").alias("n"), F.col("words").alias("w")), "page_id")
     assert both.count() > 0
     assert both.filter("title <> t or h1_total <> h or images <> i or has_nav <> n or words <> w").count() == 0
