@@ -40,9 +40,32 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, weights: DataFrame,
     return dealt.join(copied, [key, "__salt"], how).drop("__salt")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): comp is the least node reachable. Large-star and small-star rounds until nothing changes (a logarithmic number)."""
+#: So many links, 16 bytes each, are followed in one task; beyond that in rounds of shuffles.
+SMALL_LINKS = 200_000
+
+
+def _followed(batches):
+    """(node, comp) of all links of one task: labels are lowered along links and then along themselves until none moves."""
+    found = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if len(b)]
+    if not found:
+        return
+    node, at = np.unique(np.concatenate(found, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(node))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[label])], ["node", "comp"])
+
+
+def components(edges: DataFrame, small: int | None = None) -> DataFrame:
+    """(node, comp): comp is the least node reachable. Few links are followed in one task; many by large-star and small-star rounds until nothing changes (a logarithmic number)."""
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    if now.count() <= (SMALL_LINKS if small is None else small):
+        return cut(now.coalesce(1).mapInArrow(_followed, "node long, comp long"))
     mark = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -53,9 +76,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v")
-        now = cut(small.distinct())
+        small_star = large.join(least, "u")
+        small_star = small_star.select("u", F.col("m").alias("v")).unionByName(small_star.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v")
+        now = cut(small_star.distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 

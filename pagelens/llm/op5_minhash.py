@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pagelens.llm import graph, op4_jaccard
 from pagelens.llm import words as W
-from pagelens.session import cut, discard, prepare, stored, table
+from pagelens.session import cut, discard, prepare, release, stored, table
 
 WORDS = 5
 PERMUTATIONS = 128
@@ -36,6 +36,8 @@ RANGE_ROWS, MOST_RANGES = 8_000, 20_000
 BANDS, ROWS, PERCENT = 25, 5, 80
 #: Tasks that share the rows of one band's bucket when they meet its ends.
 SALTS = 16
+#: Rounds in which each class of a bucket is compared with one of another component, before all that remain are.
+STAR_ROUNDS = 2
 
 
 def permutations(n: int = PERMUTATIONS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +272,7 @@ def groups_of(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows:
     tried = comps = None
     left = live(keyed, None)
     discard(keyed)
-    for _ in range(op4_jaccard.STAR_ROUNDS):
+    for _ in range(STAR_ROUNDS):
         stars = left.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
         stars = cut(stars.join(tried, ["a", "b"], "left_anti") if tried is not None else stars)
         new = verified(stars)
@@ -297,7 +299,10 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text", id_col: str =
     """The columns of ``compare_with_next`` and each document's group of near duplicates: bands joined, Jaccard verified."""
     found, groups = groups_of(docs, text_col=text_col, id_col=id_col)
     members = op4_jaccard.with_component(found, groups, id_col).filter("component_id is not null")
-    return compare_with_next(docs, PERMUTATIONS, text_col, id_col, cut(members.select(F.col(id_col).alias("id"), "node", "component_id")))
+    members = cut(members.select(F.col(id_col).alias("id"), "node", "component_id"))
+    del found, groups
+    release(docs.sparkSession)  # what the groups were found by is not needed while the texts are shuffled
+    return compare_with_next(docs, PERMUTATIONS, text_col, id_col, members)
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
