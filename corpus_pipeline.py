@@ -12,17 +12,23 @@ from pagelens.session import checkpoint_dir, table
 
 #: Near copies share so many words a shingle and so many percent of their shingles.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-#: A document whose languages are this mixed has no language to go by; ``und`` goes as well.
-LEAST_SCORE = 0.3
+#: A document goes if its languages are this mixed, or if so few of its features are of any learned language; ``und`` goes as well.
+LEAST_SCORE, LEAST_KNOWN = 0.3, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language."""
-    return op1_langid.recognised(docs, op1_langid.fit(docs), LEAST_SCORE)
+    """Rejects documents without a recognisable language.
+
+    Null and empty texts and texts without a letter go; texts of any length are labelled whole; repeated rows share one fate, ties
+    go to the alphabetically first language; without any labelled row everything goes; an empty table gives an empty one."""
+    return op1_langid.recognised(docs, op1_langid.fit(docs), LEAST_SCORE, least_known=LEAST_KNOWN)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes cross-site boilerplate lines. A document of nothing else goes: its lines stay with their first carrier."""
+    """Removes cross-site boilerplate lines. A document of nothing else goes: its lines stay with their first carrier.
+
+    Null and empty texts stay as they are; null sources spread no line; rows with equal ids are told apart by their texts; n_chars
+    follows the text where that changes; an empty table gives an empty one."""
     out = op2_lines.remove_boilerplate(docs)
     out = out.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -30,18 +36,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each component; rows that repeat an id are one document and stay together."""
+    """Keeps the document of least id of each component; rows that repeat an id are one document and stay together.
+
+    Texts without words are in no component but their own; a null id stays only where its component has no other; an empty table
+    gives an empty one."""
     keep = op4_jaccard.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents to the target weights."""
+    """Samples documents to the target weights.
+
+    Null sources and languages are of the group ``*``; texts without words follow their cell; repeated rows share one fate, rows
+    with a null id that of their text; marginals that cannot hold are an error; an empty table gives an empty one."""
     return op10_mix.mix_sources(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the columns that identify it."""
+    """Token ids of every document, with the columns that identify it.
+
+    A null text is empty and has no tokens; texts of any length are encoded whole; repeated rows and null ids stay; an empty table
+    gives an empty one."""
     import public_tokenizers as P
 
     out = op3_bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
