@@ -29,7 +29,7 @@ def visible_text(page: Column) -> Column:
 
 
 def page_columns(pages: DataFrame) -> DataFrame:
-    """What each page's HTML and address say by themselves: one pass of the parser, no text kept. A null page is an empty one; other columns of ``pages`` stay."""
+    """What each page's HTML and address say by themselves: one pass of the parser, no text kept. A null page is an empty one; other columns of ``pages`` stay, a crawled page's depth among them."""
     c = F.col
     page = F.coalesce(c("html"), F.lit(""))
     flags = html.flags(page)
@@ -54,7 +54,7 @@ def page_columns(pages: DataFrame) -> DataFrame:
         F.left(c("text"), F.lit(400)).rlike(text.OFFER).alias("offers"),
         text.latest_year(c("dates")).alias("year"),
         *facts.fact_columns(c("site") if "site" in own else F.lit("")),
-        urls.path_depth(c("url")).alias("depth"),
+        *([] if "depth" in own else [urls.path_depth(c("url")).alias("depth")]),
         urls.path_shape(c("url")).alias("shape"),
     )
 

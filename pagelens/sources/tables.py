@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html import escape
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import vocab as V
@@ -28,6 +28,23 @@ def reports(found: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.select("site", "overall", "dimensions", F.coalesce("severities", none).alias("severities"), F.coalesce("findings", F.array().cast(f"array<{FINDING}>")).alias("findings"))
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """JSON lines, nulls written out, so that reading gives back the same rows."""
+    rows.write.option("ignoreNullFields", "false").mode("errorifexists").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """JSON lines of a known schema; a line that does not fit is an error, unknown fields are left out."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def non_pages(evidence: DataFrame) -> DataFrame:
+    """(site, resources) the first addresses, in order, that answer and are no pages, with their kinds."""
+    order = Window.partitionBy("site").orderBy("url", "page_id")
+    rows = evidence.filter("ok and kind <> 'page'").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LISTED)
+    return rows.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url", "kind"))), lambda x: F.struct(x["url"].alias("url"), x["kind"].alias("kind"))).alias("resources"))
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Reports from JSON lines; unknown fields are left out."""
     return spark.read.schema(SCHEMA).json(path)
