@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import re
@@ -44,10 +45,34 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Folders of written tables that go when the driver ends.
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    """Results are read when they are asked for, so their tables stay until the driver ends. A context that has ended before cannot remove them."""
+    for spark, folder in _folders:
+        if spark.sparkContext._jsc is not None:
+            _remove(spark, folder)
+
+
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the shared folder, removed when the driver ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _folders.append((spark, path))
+    return path
+
+
 def stored(df):
     """A DataFrame written as compressed Parquet in the shared folder and read again: smaller than a checkpoint."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = own_folder(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
     del df
     release(spark)
