@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.llm import op1_langid, op2_lines, op3_bpe, op4_jaccard, op10_mix
-from pagelens.session import checkpoint_dir, table
+from pagelens.session import own_folder, table
 
 #: Near copies share so many words a shingle and so many percent of their shingles.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -70,7 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; each but the last is written as Parquet in the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), own_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
