@@ -151,7 +151,7 @@ def test_checks_over_wider_evidence(spark):
     plain = {r.check for r in site.findings(base).collect()}
     wide = base.withColumns({
         "robots_allowed": ~first, "redirects": F.when(first, 2), "robots_header": F.when(first, "NoIndex"), "rendered": first, "script_dependent": first,
-        "canonical": F.when(first, "https://elsewhere.example/"), "jsonld_errors": F.when(first, F.array(F.lit("x"))), "defects": F.when(first, F.array(F.lit("x"))), "ctas": F.when(~first, F.array(F.lit("x"))),
+        "canonical": F.when(first, "https://elsewhere.example/"), "jsonld_errors": F.when(first, F.array(F.lit("x"))), "defects": F.when(first, F.array(F.lit("x"))), "name_likeness": F.when(first, 0.1), "ctas": F.when(~first, F.array(F.lit("x"))),
     })
     found = site.findings(wide).filter("site = 'site0.example'").collect()
     added = {r.check: (r.affected, r.urls) for r in found if r.check not in plain}
