@@ -185,8 +185,10 @@ def language_mode(spark, d):
 
 def parsed_pages(spark, d):
     """What the tree walk finds in each page, whatever regular expressions make of it."""
-    rows = parse.parsed_pages(table(spark, d, "pages"))
-    return rows.select("page_id", "title", "lang", "words", "headings_total", "images", "forms", "has_nav", "has_main", F.size("h1").cast("long").alias("h1_total"))
+    rows = parse.parsed_pages(table(spark, d, "pages").withColumn("given", F.col("html").isNotNull()), keep=["given"]).withColumn("h1_total", F.size("h1").cast("long"))
+    # Of a null page nothing is known but that it shows no words.
+    known = [F.when(F.col("given"), F.col(c)).alias(c) for c in ("title", "lang", "headings_total", "images", "forms", "has_nav", "has_main", "h1_total")]
+    return rows.select("page_id", "words", *known)
 
 
 def freshness_risk(spark, d):
