@@ -19,6 +19,8 @@ def page(title: str, words: int) -> str:
 
 #: Home pages of eight sites: whole and cut references, on either side of the 80 words under which a page is thin.
 PAGES = [page("Ripe plums &amp; pears", 90), page("Ripe plums &amp;&amp", 80), page("Ripe plums &amp;&amp", 79), page("Ripe plums &am", 80), page("Ripe plums &amp", 120), page("Ripe plums &quot", 80), page("Ripe plums &amp;", 80), page("Ripe plums &#39", 81)]
+#: Inner pages on either side of the 400 words that make one more important.
+PAGES += [page("Ripe plums &amp;&amp", n) for n in (399, 400, 401)] + [page("Ripe plums &amp;", 400)]
 
 
 @pytest.fixture(scope="module")
@@ -58,3 +60,8 @@ def test_only_whole_references_stand_for_something():
     assert {k: parse.parse(f"<title>{k}</title><p>{k}", "https://e.com/")["title"] for k in cases} == cases
     got = parse.parse('<a href="/x?a=1&amp;b=2">go</a><script type="application/ld+json">{"@type": "A &amp; B &amp"}</script>' + html.escape("<'\">"), "https://e.com/")
     assert (got["internal_links"], got["jsonld_types"], got["text"]) == (["https://e.com/x?a=1&b=2"], ["A &amp; B &amp"], "go <'\">")
+
+
+def test_page_role_with_cut_references(spark, tables):
+    got, want = both(spark, tables, "page_role")
+    assert got == want and sum(got.values()) == len(PAGES)
