@@ -65,3 +65,10 @@ def test_only_whole_references_stand_for_something():
 def test_page_role_with_cut_references(spark, tables):
     got, want = both(spark, tables, "page_role")
     assert got == want and sum(got.values()) == len(PAGES)
+
+
+def test_site_findings_with_cut_references(spark, tables):
+    got, want = both(spark, tables, "site_findings")
+    columns = ["affected", "check_id", "confidence", "dimension", "priority", "priority_score", "reach", "sample", "severity", "site", "urls"]
+    thin = {x["site"] for x in (dict(zip(columns, r, strict=True)) for r in got) if x["check_id"] == "thin_important_page"}
+    assert got == want and thin == {"site2.example"}
