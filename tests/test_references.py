@@ -72,3 +72,8 @@ def test_site_findings_with_cut_references(spark, tables):
     columns = ["affected", "check_id", "confidence", "dimension", "priority", "priority_score", "reach", "sample", "severity", "site", "urls"]
     thin = {x["site"] for x in (dict(zip(columns, r, strict=True)) for r in got) if x["check_id"] == "thin_important_page"}
     assert got == want and thin == {"site2.example"}
+
+
+def test_findings_ranked_with_cut_references(spark, tables):
+    got, want = both(spark, tables, "findings_ranked")
+    assert got == want and got
