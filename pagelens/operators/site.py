@@ -21,7 +21,7 @@ IMPORTANT = 0.5
 LISTED = 25
 _HIDDEN = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("head", "script", "style", "noscript", "template", "svg", "canvas"))
 #: What no visitor reads: hidden elements, comments, tags and character references.
-INVISIBLE = [rf"(?is){_HIDDEN}|<!--.*?-->", r"(?s)<[^>]*>", r"&[A-Za-z0-9#]+;"]
+INVISIBLE = [rf"(?is){_HIDDEN}|<!--.*?-->", r"(?s)<[^>]*>", parse.PARTING]
 
 
 def visible_text(page: Column) -> Column:

@@ -27,7 +27,9 @@ STEPS = [1, 2, 3, 4, 16, 21]
 
 def derived_pages(spark, d) -> DataFrame:
     page = F.col("page_id")
-    path = F.element_at(classify._list(PATHS), (F.floor(page / SITES) % len(PATHS) + 1).cast("int"))
+    # Whole numbers throughout: a quotient of doubles is wrong for ids of 2^53 and more. An id below zero counts from the list's end, as in the SQL; its place 0 holds nothing.
+    place = (F.expr(f"page_id div {SITES}") % len(PATHS) + 1).cast("int")
+    path = F.when(place != 0, F.element_at(classify._list(PATHS), place))
     site = F.concat(F.lit("site"), page % SITES, F.lit(".example"))
     return table(spark, d, "pages").select(
         "page_id",

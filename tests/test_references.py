@@ -77,3 +77,33 @@ def test_site_findings_with_cut_references(spark, tables):
 def test_findings_ranked_with_cut_references(spark, tables):
     got, want = both(spark, tables, "findings_ranked")
     assert got == want and got
+
+
+def whole(words: int, reference: str = "&eacute;") -> str:
+    """A page with a whole reference inside a word, which the SQL counts as two words."""
+    return page("Ripe plums", words - 1).replace("w0 ", f"caf{reference}s ")
+
+
+#: On either side of 80 and of 400 words, with known and unknown references and one that a tag breaks.
+WHOLE = [whole(n) for n in (79, 80, 81, 399, 400, 401)] + [whole(n, x) for n in (80, 400) for x in ("&#x27;", "&#233;", "&unknown;", "&am<b>p;</b>")]
+
+
+@pytest.fixture(scope="module", params=[0, 2**53 + 1, -9, 10**12], ids=["plain", "beyond doubles", "below zero", "far"])
+def shifted(request, tmp_path_factory):
+    """Ten pages of every kind in ``WHOLE``, their ids shifted; ids below zero have pages without an address among them."""
+    folder = tmp_path_factory.mktemp("whole")
+    rows = duckdb.connect()
+    rows.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    rows.executemany("insert into pages values (?, ?, ?)", [[i + request.param, f"https://e.com/{i}", WHOLE[i * 5 % len(WHOLE)]] for i in range(10 * len(WHOLE))])
+    rows.execute(f"copy pages to '{folder}/pages.parquet'")
+    return str(folder)
+
+
+def test_page_role_with_whole_references_and_any_ids(spark, shifted):
+    got, want = both(spark, shifted, "page_role")
+    assert got == want and sum(got.values()) == 10 * len(WHOLE)
+
+
+def test_references_part_words_and_stand_in_texts():
+    got = parse.parse("<p>caf&eacute;s don&#x27;t &unknown;x <b>&am</b>p; a&amp b</p>", "https://e.com/")
+    assert (got["text"], got["words"]) == ("cafés don't &unknown;x &am p; a&amp b", 10)
