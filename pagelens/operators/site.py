@@ -244,8 +244,8 @@ def findings(evidence: DataFrame) -> DataFrame:
     )
     hit = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in checks.items()]))
     hits = evidence.select("site", "url", "importance", "depth", F.explode(hit).alias("check"))
-    order = Window.partitionBy("site", "check").orderBy(F.desc("importance"), "depth", "url")
-    listed = hits.withColumn("place", F.row_number().over(order)).filter(c("place") <= LISTED).groupBy("site", "check").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x.url).alias("urls"))
+    order = Window.partitionBy("site", "check").orderBy(F.desc("importance"), F.asc_nulls_last("depth"), F.asc_nulls_last("url"))
+    listed = hits.withColumn("place", F.row_number().over(order)).filter(c("place") <= LISTED).groupBy("site", "check").agg(F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x.url)).alias("urls"))
     counted = hits.groupBy("site", "check").agg(F.count("*").alias("affected"), F.max(c("importance") >= IMPORTANT).alias("any_important"))
     rows = counted.join(listed, ["site", "check"]).join(totals, "site")
     base = F.coalesce(*[F.when(c("check") == name, c(of)) for name, (of, *_) in TRIGGERS.items()])
