@@ -65,6 +65,11 @@ def evidence(spark, d) -> DataFrame:
     return whole_evidence(spark, d).select(*PLAIN)
 
 
+def checked(spark, d) -> DataFrame:
+    """The evidence that findings with SQL need, written once; its facts and dates, which only scores ask for, are not worked out."""
+    return stored(S.page_evidence(derived_pages(spark, d), derived_links(spark, d)).select(*[c for c in PLAIN if c not in ("facts", "text_facts", "year")]))
+
+
 def page_text_words(spark, d):
     return table(spark, d, "pages").select("page_id", text.word_count(S.visible_text(F.coalesce("html", F.lit("")))).cast("long").alias("words"))
 
@@ -103,7 +108,7 @@ def site_findings(spark, d):
 
 
 def findings_ranked(spark, d):
-    return S.ranked(stored(S.findings(evidence(spark, d)))).select("site", "finding_id", F.col("check").alias("check_id"), "severity", "priority", "priority_score", "affected", F.size("urls").alias("listed"))
+    return S.ranked(stored(S.findings(checked(spark, d)))).select("site", "finding_id", F.col("check").alias("check_id"), "severity", "priority", "priority_score", "affected", F.size("urls").alias("listed"))
 
 
 def dimension_scores(spark, d):

@@ -109,6 +109,11 @@ def test_site_findings_with_whole_references_and_any_ids(spark, shifted):
     assert got == want and got
 
 
+def test_findings_ranked_with_whole_references_and_any_ids(spark, shifted):
+    got, want = both(spark, shifted, "findings_ranked")
+    assert got == want and got
+
+
 def test_references_part_words_and_stand_in_texts():
     got = parse.parse("<p>caf&eacute;s don&#x27;t &unknown;x <b>&am</b>p; a&amp b</p>", "https://e.com/")
     assert (got["text"], got["words"]) == ("cafés don't &unknown;x &am p; a&amp b", 10)
